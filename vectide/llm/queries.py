@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, ngram_join, quality_rules
+from . import ann_search, html_extract, license_scan, line_dedup, ngram_join, packing, quality_rules, secret_scan, sp_tokenizer, toxicity
 from .common import table
 
+SP_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -17,6 +19,18 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_components(table(spark, sf_dir, "documents"), n=4, percent=85)
 
@@ -25,6 +39,23 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str = SP_MODEL) -> DataFrame:
+    return sp_tokenizer.encode(table(spark, sf_dir, "documents"), model_path)
+
+
+def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op10_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann_search.nearest(table(spark, sf_dir, "embeddings"))
+
+
 OP5_SQL = r"""
 WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
@@ -60,7 +91,7 @@ FROM lined l LEFT JOIN gone USING (doc_id)
 
 
 def queries() -> dict[str, Query]:
-    found = (op1_quality_rules, op5_ngram_join, op6_line_dedup)
+    found = (op1_quality_rules, op2_secret_scan, op3_best_fit_packing, op4_license_scan, op5_ngram_join, op6_line_dedup, op7_sentencepiece, op8_html_extract, op9_toxicity, op10_ann_search)
     return {f.__name__: f for f in found}
 
 
