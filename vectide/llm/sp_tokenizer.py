@@ -136,7 +136,8 @@ class Encoder:
     def __init__(self, spec: Spec):
         self.full = build(spec)
         self.bare = build(spec)  # for text that is normalised and cut already
-        self.normalise = self.full.normalizer.normalize_str
+        plain = lambda t: (MARK if spec.dummy_prefix and normalised(t, spec) else "") + normalised(t, spec).replace(" ", MARK)
+        self.normalise = self.full.normalizer.normalize_str if spec.charsmap else plain
         self.bare.normalizer = normalizers.Sequence([])
         self.cut = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+").findall if can_cut(spec) else lambda text: [text] if text else []
         self.known: dict[str, list[int]] = {}
@@ -145,7 +146,7 @@ class Encoder:
         if len(self.known) > KEPT:
             self.known.clear()
         cut = [self.cut(self.normalise(t)) if t else [] for t in texts]
-        new = list({w for words in cut for w in words} - self.known.keys())
+        new = [w for w in {w for words in cut for w in words} if w not in self.known]
         self.known.update(zip(new, (e.ids for e in self.bare.encode_batch_fast(new, add_special_tokens=False)), strict=True))
         return [list(chain.from_iterable(map(self.known.__getitem__, words))) for words in cut]
 
