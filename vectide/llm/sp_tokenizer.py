@@ -10,7 +10,6 @@ import os
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import chain
 from pathlib import Path
 from struct import unpack_from
 
@@ -23,7 +22,6 @@ MARK = "▁"
 # Fixed values of the format: kinds of pieces and of models.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-KEPT = 200_000  # words whose pieces are kept
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes | float]]:
@@ -130,27 +128,6 @@ def build(spec: Spec) -> Tokenizer:
     return tokenizer
 
 
-class Encoder:
-    """Encodes texts by their words: each batch's new words go to the library together, which encodes them on several threads."""
-
-    def __init__(self, spec: Spec):
-        self.full = build(spec)
-        self.bare = build(spec)  # for text that is normalised and cut already
-        plain = lambda t: (MARK if spec.dummy_prefix and normalised(t, spec) else "") + normalised(t, spec).replace(" ", MARK)
-        self.normalise = self.full.normalizer.normalize_str if spec.charsmap else plain
-        self.bare.normalizer = normalizers.Sequence([])
-        self.cut = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+").findall if can_cut(spec) else lambda text: [text] if text else []
-        self.known: dict[str, list[int]] = {}
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        if len(self.known) > KEPT:
-            self.known.clear()
-        cut = [self.cut(self.normalise(t)) if t else [] for t in texts]
-        new = [w for w in {w for words in cut for w in words} if w not in self.known]
-        self.known.update(zip(new, (e.ids for e in self.bare.encode_batch_fast(new, add_special_tokens=False)), strict=True))
-        return [list(chain.from_iterable(map(self.known.__getitem__, words))) for words in cut]
-
-
 def normalised(text: str, spec: Spec) -> str:
     """What decoding gives back, for models without a character map."""
     return re.sub(" +", " ", text).strip(" ") if spec.squeeze else text
@@ -172,7 +149,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
         os.environ["TOKENIZERS_PARALLELISM"] = "true"
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
         spec = parse(sent.value)
-        encoder, reference = Encoder(spec), None
+        tokenizer, reference = build(spec), None
         spelt, skip = [bytes.fromhex(text[3:5]) if kind == BYTE else text.replace(MARK, " ").encode() for text, _, kind in spec.pieces], int(spec.dummy_prefix)
         if parity:
             import sentencepiece
@@ -183,7 +160,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
                 part = rows.slice(at, batch)
                 texts = part.column(1).to_pylist()
                 given = [t or "" for t in texts]
-                ids = encoder.encode(given)
+                ids = [e.ids for e in tokenizer.encode_batch_fast(given, add_special_tokens=False)]
                 same = [None] * len(ids)
                 if reference:
                     right = reference.encode(given, num_threads=threads)
