@@ -152,12 +152,13 @@ def recursive_kmeans(points: DataFrame, k: int, cap: int, metric: str = "l2", ro
     """
     now = flat_kmeans(points, k, metric, rounds)
     for _ in range(max_levels):
-        now = now.persist()
+        now = materialize(now, "level")
         sizes = {r["shard"]: r["n"] for r in now.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}
         over = {s: n for s, n in sizes.items() if n > cap}
         if not over:
             return now
-        labels = split_shards(points.join(now.where(F.col("shard").isin(list(over))), "id"), cap, metric, rounds).persist()
+        labels = split_shards(points.join(now.where(F.col("shard").isin(list(over))), "id"), cap, metric, rounds)
+        labels = materialize(labels, "split")
         parts = {r["shard"]: r["m"] for r in labels.groupBy("shard").agg(F.max("part").alias("m")).collect()}
         nxt, start = max(sizes) + 1, {}
         for s in sorted(parts):
@@ -193,7 +194,7 @@ def balanced_kmeans(points: DataFrame, k: int, cap: int, metric: str = "l2", rou
     """
     assigned, at = kmeans(points, sample_vectors(points, k), metric, rounds)
     at = at.copy()
-    now = assigned.select("id", "shard").persist()
+    now = materialize(assigned.select("id", "shard"), "balanced")
     price, best = 0.0, None
     for sweep in range(sweeps):
         size = np.zeros(len(at))
@@ -203,10 +204,10 @@ def balanced_kmeans(points: DataFrame, k: int, cap: int, metric: str = "l2", rou
             best = now
             break
         step = _priced(points.join(now, "id").withColumn("batch", F.pmod(hash_order(sweep, "id"), F.lit(batches))), at, size, price, cap, metric)
-        moved = step.persist()
+        moved = materialize(step, "balanced")
         need = moved.agg(F.min("need")).first()[0]
         price = (1.5009 - 0.0009 * sweep) * need if need is not None and np.isfinite(need) and need > price else max(price, 1e-9) * 1.5
-        now = moved.select("id", "shard").persist()
+        now = moved.select("id", "shard")
     return best if best is not None else evict_overloaded(points, now, at, cap, metric)
 
 
@@ -245,7 +246,7 @@ def hierarchical_kmeans(points: DataFrame, ratio: float = 0.02, fanout: int = 64
 
     A node of n points gets min(fanout, max(2, n * ratio)) children; it is a leaf once n * ratio < 2.
     """
-    now = points.select("id", F.array(F.lit(0)).alias("node")).persist()
+    now = points.select("id", F.array(F.lit(0)).alias("node"))
 
     def split(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id")
@@ -259,13 +260,13 @@ def hierarchical_kmeans(points: DataFrame, ratio: float = 0.02, fanout: int = 64
 
     finished = None
     for _ in range(max_levels):
-        step = now.join(points, "id").groupBy("node").applyInPandas(split, "id long, node array<int>, done boolean").persist()
+        step = materialize(now.join(points, "id").groupBy("node").applyInPandas(split, "id long, node array<int>, done boolean"), "split")
         ended = step.where("done").select("id", "node")
         finished = ended if finished is None else finished.unionByName(ended)
         now = step.where("not done").select("id", "node")
         if now.isEmpty():
             break
-    whole = finished.unionByName(now).persist()
+    whole = finished.unionByName(now)
     names = whole.select("node").distinct().withColumn("leaf", (F.row_number().over(Window.orderBy("node")) - 1).cast("int"))
     leaves = whole.join(names, "node").select("id", "leaf")
     at = centers(points, leaves.select("id", F.col("leaf").alias("shard")), metric)

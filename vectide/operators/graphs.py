@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import materialize
 from . import kernels
 from .neighbours import bucket_graph
 from .shards import hash_order
@@ -60,7 +61,7 @@ def sketch_buckets(points: DataFrame, how: Sketch, metric: str = "l2") -> DataFr
     for rep in range(how.repetitions):
         now = vectors.select("id", "vec", F.lit(f"{rep}").alias("node"))
         for depth in range(how.max_depth + 1):
-            now = now.persist()
+            now = materialize(now, "sketch")
             sizes = {r["node"]: r["n"] for r in now.groupBy("node").agg(F.count(F.lit(1)).alias("n")).collect()}
             big = {n: c for n, c in sizes.items() if c > how.bucket}
             done = now.where(~F.col("node").isin(list(big))) if big else now

@@ -77,6 +77,7 @@ def pyramid(points: DataFrame, k: int, metric: str = "l2", sample: int = 10_000_
 
 def leaf_pyramid(points: DataFrame, k: int, metric: str = "l2", ratio: float = 0.02) -> DataFrame:
     """Leaves of hierarchical k-means are nodes of their size; the partition of their 20-nearest graph is carried to the points."""
+    ratio = min(0.5, max(ratio, 32 * k / max(1, points.count())))  # small leaves, as a leaf lies in one shard
     leaves, at = centroids.hierarchical_kmeans(points, ratio, metric=metric)
     leaves, at = materialize(leaves, "leaves"), materialize(at, "leaf-centers")
     nodes = at.select(F.col("leaf").cast("long").alias("id"), "vec")

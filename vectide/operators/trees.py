@@ -147,7 +147,22 @@ class NavigableGraph:
             for j in kept:
                 self.near[j].add(int(i))
         self.links = [np.fromiter(sorted(x), np.int64, len(x)) for x in self.near]
-        self.entry = kernels.sample_rows(ids, how.entries, 555)
+        self.entry = np.union1d(kernels.sample_rows(ids, how.entries, 555), self._islands())
+
+    def _islands(self) -> np.ndarray:
+        """One point of each connected part, so that a search can reach all of them."""
+        part, firsts = np.full(len(self.ids), -1), []
+        for i in range(len(self.ids)):
+            if part[i] >= 0:
+                continue
+            firsts.append(i)
+            todo, part[i] = [i], i
+            while todo:
+                for j in self.links[todo.pop()]:
+                    if part[j] < 0:
+                        part[j] = i
+                        todo.append(int(j))
+        return np.array(firsts, np.int64)
 
     def search(self, query: np.ndarray, k: int, ef: int) -> tuple[np.ndarray, np.ndarray]:
         seen = np.zeros(len(self.ids), bool)

@@ -137,7 +137,7 @@ def hits_of_counts(counts: DataFrame) -> DataFrame:
     """(ef, shard, query_id, neighbor_id) from counts(ef, shard, query_id, hits) of the older format: made-up ids, no two alike for a query."""
     before = Window.partitionBy("ef", "query_id").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     placed = counts.where("hits > 0").withColumn("off", F.coalesce(F.sum("hits").over(before), F.lit(0)))
-    return placed.select("ef", "shard", "query_id", F.explode(F.sequence(F.col("off") + 1, F.col("off") + F.col("hits"))).cast("long").alias("neighbor_id"))
+    return placed.select("ef", "shard", "query_id", F.explode(F.sequence((F.col("off") + 1).cast("long"), (F.col("off") + F.col("hits")).cast("long"))).alias("neighbor_id"))
 
 
 def write_csv(rows: DataFrame, path: str) -> None:
