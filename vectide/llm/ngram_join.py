@@ -10,7 +10,8 @@
 3. The connected groups of candidates hold every link. In each group a signature tree is built over the members:
    nodes hold the OR of token bitmaps, size ranges, and how many tokens share bits. Dual traversal drops node pairs whose
    maximum possible overlap is too small, or whose members are all connected already; the rest is compared exactly.
-   Groups of many members are cut into blocks; pairs of blocks are tasks of their own.
+   Members of large groups are grouped anew by longer runs of neighbours, by the same reasoning; groups that are still large are
+   cut into blocks, and pairs of blocks are tasks of their own.
 """
 
 from __future__ import annotations
@@ -29,49 +30,106 @@ from .common import materialize, rows_of, text_bytes
 from .components import components
 
 MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
+BASE = np.uint64(0x27D4EB2F165667C5)  # of the polynomials over bytes
+WIDE_SIZE = 40  # shingles of a set from which long runs are posted
+PIECE = 1 << 20  # bytes of a text that are hashed at once
+LONG_WORD = 256  # bytes
 BITS = 2048  # of a token bitmap
 LEAF = 16  # members of a leaf
 FANOUT = 8  # children of an inner node
 BLOCK = 1_000  # members of a block of a large group
 
 
-class _WordHash(dict):
-    """64-bit hashes of words; forgets all when full, so memory is bounded."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
+def _mix(h: np.ndarray) -> np.ndarray:
+    h ^= h >> np.uint64(31)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(29)
+    return h
+
+
+class WordHash:
+    """64-bit hashes of all words of a text at once: polynomials over its bytes, as differences of prefix sums."""
+
+    def __init__(self):
+        steps = np.arange(1, 257, dtype=np.uint64)
+        self.letters = _mix(steps * MULTIPLIERS[0])
+        self.space = np.zeros(256, bool)
+        self.space[[0x20, *range(0x09, 0x0E)]] = True
+        self._extend(PIECE)
+
+    def _extend(self, n: int) -> None:
+        with np.errstate(over="ignore"):
+            self.powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, BASE, np.uint64)]), dtype=np.uint64)
+            self.inverse = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, np.uint64(pow(int(BASE), -1, 2**64)), np.uint64)]), dtype=np.uint64)
+
+    def __call__(self, body: bytes) -> np.ndarray:
+        """Of each run of bytes other than \\x20 and \\x09-\\x0D, with A-Z lower-cased, in order."""
+        body, out, at = body.lower(), [], 0
+        while len(body) - at > PIECE:  # cut long texts between words
+            cut = max(body.rfind(x, at, at + PIECE) for x in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c"))
+            if cut <= at:
+                found = [x for x in (body.find(y, at + PIECE) for y in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c")) if x >= 0]
+                cut = min(found, default=len(body) - 1)
+            out.append(self._piece(body[at : cut + 1]))
+            at = cut + 1
+        out.append(self._piece(body[at:]))
+        return np.concatenate(out) if len(out) > 1 else out[0]
+
+    def _piece(self, body: bytes) -> np.ndarray:
+        if len(body) >= len(self.powers):
+            self._extend(len(body))
+        data = np.frombuffer(body, np.uint8)
+        edges = np.flatnonzero(np.diff(np.concatenate([[False], ~self.space[data], [False]])))
+        start, end = edges[::2], edges[1::2]
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(self.letters[data] * self.powers[: len(data)], out=sums[1:])
+        h = _mix((sums[end] - sums[start]) * self.inverse[start])
+        for k in np.flatnonzero(end - start > LONG_WORD):  # polynomials of long words could be made to collide
+            h[k] = xxhash.xxh3_64_intdigest(body[start[k] : end[k]])
         return h
 
 
-def shingle_set(body: bytes | None, n: int, words: _WordHash) -> np.ndarray:
+def shingle_set(body: bytes | None, n: int, words: WordHash) -> np.ndarray:
     """Sorted distinct 64-bit shingle hashes; a text of 1 to n-1 words has one, of the whole sequence."""
-    tokens = body.lower().split() if body else []  # bytes: A-Z only; splits at \x20 and \x09-\x0D only
-    if not tokens:
-        return np.empty(0, np.uint64)
-    if len(tokens) < n:
-        return np.array([xxhash.xxh3_64_intdigest(b" ".join(tokens), seed=len(tokens))], np.uint64)
-    h = np.fromiter(map(words.__getitem__, tokens), np.uint64, len(tokens))
-    mixed = np.zeros(len(tokens) - n + 1, np.uint64)
+    h = words(body) if body else np.empty(0, np.uint64)
+    if not len(h):
+        return h
+    if len(h) < n:
+        return np.array([xxhash.xxh3_64_intdigest(h.tobytes(), seed=len(h))], np.uint64)
+    mixed = np.zeros(len(h) - n + 1, np.uint64)
     for k in range(n):
-        mixed += h[k : len(tokens) - n + 1 + k] * (MULTIPLIERS[k % 8] + np.uint64(2 * (k // 8)))
-    mixed ^= mixed >> np.uint64(31)
-    mixed *= np.uint64(0xBF58476D1CE4E5B9)
-    mixed ^= mixed >> np.uint64(29)
-    return np.unique(mixed)
+        mixed += h[k : len(h) - n + 1 + k] * (MULTIPLIERS[k % 8] + np.uint64(2 * (k // 8)))
+    return np.unique(_mix(mixed))
+
+
+def neighbour_runs(s: np.ndarray, percent: int, width: int) -> np.ndarray:
+    """Hashes of the runs of so many neighbours that a sorted set posts.
+
+    A shingle that only this set has breaks at most width of its runs, one that only the other has width - 1. With similarity
+    t that makes at most width * (1 - t) * n, if width - 1 <= width * t; so the first runs beyond that number hold an unbroken one.
+    Where a set has too few runs, both ends of the order are neighbours too.
+    """
+    most, ends = width * (100 - percent) * len(s) // 100 + 1, np.array([0], np.uint64)
+    if most > len(s) - width + 1:
+        s = np.concatenate([ends, s, ends - np.uint64(1)])
+        most = max(0, len(s) - width + 1)
+    mixed = np.zeros(min(most, max(0, len(s) - width + 1)), np.uint64)
+    for k in range(width):
+        mixed += s[k : k + len(mixed)] * MULTIPLIERS[(4 + k) % 8]
+    return _mix(mixed + np.uint64(width))
 
 
-def neighbour_pairs(s: np.ndarray, percent: int) -> np.ndarray:
-    """Hashes of the pairs of neighbours that a sorted set posts; small sets also post those with both ends of the order."""
-    n, ends = len(s), np.array([0], np.uint64)
-    most = 2 * (100 - percent) * n // 100 + 1
-    if most > n - 1:
-        s, most = np.concatenate([ends, s, ends - np.uint64(1)]), n + 1
-    mixed = s[:most] * MULTIPLIERS[4] + s[1 : most + 1] * MULTIPLIERS[5]
-    mixed ^= mixed >> np.uint64(30)
-    mixed *= np.uint64(0x94D049BB133111EB)
-    return mixed ^ (mixed >> np.uint64(31))
+def wide(percent: int) -> int:
+    """The longest runs that sets of WIDE_SIZE shingles can post and still have some to spare."""
+    return max(2, 80 // (100 - percent))
+
+
+def postings(s: np.ndarray, percent: int, width: int) -> np.ndarray:
+    """Small sets always post pairs of neighbours, so that sets of similar size have posts of one kind in common."""
+    if width == 2:
+        return neighbour_runs(s, percent, 2)
+    kinds = ([2] if len(s) * percent < 100 * WIDE_SIZE else []) + ([width] if len(s) >= WIDE_SIZE else [])
+    return np.concatenate([neighbour_runs(s, percent, w) for w in kinds])
 
 
 def _survey(n: int):
@@ -79,7 +137,7 @@ def _survey(n: int):
     schema = pa.schema([("id", pa.int64()), ("key", pa.binary()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _WordHash()
+        words = WordHash()
         for ids, bodies in rows_of(batches):
             sets = [shingle_set(body, n, words) for body in bodies]
             keys = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
@@ -88,12 +146,12 @@ def _survey(n: int):
     return run
 
 
-def _postings(n: int, percent: int):
-    """(pair of neighbours, id, set size); copies of a set within a task post once."""
+def _postings(n: int, percent: int, width: int):
+    """(run of neighbours, id, set size); copies of a set within a task post once."""
     schema = pa.schema([("h", pa.int64()), ("id", pa.int64()), ("n", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, done = _WordHash(), set()
+        words, done = WordHash(), set()
         for ids, bodies in rows_of(batches):
             pairs, whose, sizes = [np.empty(0, np.uint64)], [], []
             for i, body in zip(ids, bodies, strict=True):
@@ -101,7 +159,7 @@ def _postings(n: int, percent: int):
                 if i is None or not len(s) or (key := xxhash.xxh3_128_digest(s.tobytes())) in done:
                     continue
                 done.add(key)
-                pairs.append(neighbour_pairs(s, percent))
+                pairs.append(postings(s, percent, width))
                 whose.append(i)
                 sizes.append(len(s))
             counts = [len(p) for p in pairs[1:]]
@@ -231,7 +289,7 @@ def _verify(n: int, percent: int):
     """Of a task's rows (grp, side, id, body), star edges of the components within each grp. side: 0 all pairs, 1 and 2 pairs across."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        words, out = _WordHash(), []
+        words, out = WordHash(), []
         for _, g in pdf.groupby("grp", sort=False):
             sets = [shingle_set(b, n, words) for b in g["body"]]
             side, ids = g["side"].to_numpy(), g["id"].to_numpy()
@@ -266,24 +324,22 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     members = materialize(texts.mapInArrow(_survey(n), "id long, key binary, n long"), "members")
     reps = materialize(members.where("key is not null").groupBy("key").agg(F.min("id").alias("rep")), "reps")
 
-    posted = texts.mapInArrow(_postings(n, percent), "h long, id long, n int")
-    by_size = Window.partitionBy("h").orderBy("n", "id")
-    starts = F.coalesce(100 * F.lag("n").over(by_size) < percent * F.col("n"), F.lit(True))
-    runs = posted.withColumn("start", F.when(starts, F.col("id")))
-    runs = runs.withColumn("hub", F.last("start", ignorenulls=True).over(by_size.rowsBetween(Window.unboundedPreceding, 0)))
-    near = components(runs.where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct())
+    near = _groups(texts, n, percent, 2)
     # copies that several tasks posted are one representative
     groups = near.join(members, near.node == members.id).join(reps, "key").select(F.col("rep").alias("id"), F.col("component").alias("grp")).distinct()
     groups = materialize(groups, "groups")
 
-    sizes = materialize(groups.groupBy("grp").agg(F.count("id").alias("m")), "sizes")
-    in_small, in_large = (sizes.agg(F.sum(F.when(c, F.col("m")))).first()[0] or 0 for c in (F.col("m") <= BLOCK, F.col("m") > BLOCK))
-    grouped = groups.join(sizes, "grp")
-    held = materialize(texts.join(grouped, "id"), "held") if in_large else texts.join(grouped, "id")
-    small = held.where(F.col("m") <= BLOCK).select("id", "body", F.pmod(F.xxhash64("grp"), F.lit(ceil(in_small / BLOCK) or 1)).alias("task"), "grp", F.lit(0).alias("side"))
-    edges = [_tasks(small, n, percent)]
-    if in_large:
-        edges += _large(held.where(F.col("m") > BLOCK), in_large, n, percent)
+    small, large = _by_size(groups)
+    edges = []
+    if large:
+        # longer runs of neighbours tell the members of large groups apart
+        held = materialize(texts.join(groups.join(large[0], "grp").select("id"), "id"), "held")
+        finer = materialize(_groups(held, n, percent, wide(percent)).select(F.col("node").alias("id"), F.col("component").alias("grp")), "finer")
+        finer_small, finer_large = _by_size(finer)
+        edges += [_alone(held, finer, finer_small, n, percent)]
+        if finer_large:
+            edges += _large(held.join(finer.join(finer_large[0], "grp"), "id"), n, percent)
+    edges.append(_alone(texts, groups, small, n, percent))
     found = edges[0]
     for e in edges[1:]:
         found = found.union(e)
@@ -292,7 +348,32 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return members.join(known, "key", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("component")).alias("component_id"))
 
 
-def _large(rows: DataFrame, n_rows: int, n: int, percent: int) -> list[DataFrame]:
+def _groups(texts: DataFrame, n: int, percent: int, width: int) -> DataFrame:
+    """(node, component) of the candidate groups with more than one member."""
+    posted = texts.mapInArrow(_postings(n, percent, width), "h long, id long, n int")
+    by_size = Window.partitionBy("h").orderBy("n", "id")
+    starts = F.coalesce(100 * F.lag("n").over(by_size) < percent * F.col("n"), F.lit(True))
+    runs = posted.withColumn("start", F.when(starts, F.col("id")))
+    runs = runs.withColumn("hub", F.last("start", ignorenulls=True).over(by_size.rowsBetween(Window.unboundedPreceding, 0)))
+    return components(runs.where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct())
+
+
+def _by_size(groups: DataFrame) -> tuple[tuple[DataFrame, int] | None, tuple[DataFrame, int] | None]:
+    """(grp, m) and the number of members of small groups, and of large ones; None where there are none."""
+    sizes = materialize(groups.groupBy("grp").agg(F.count("id").alias("m")), "sizes")
+    small, large = sizes.agg(F.sum(F.when(F.col("m") <= BLOCK, F.col("m"))), F.sum(F.when(F.col("m") > BLOCK, F.col("m")))).first()
+    return (sizes.where(F.col("m") <= BLOCK), small) if small else None, (sizes.where(F.col("m") > BLOCK), large) if large else None
+
+
+def _alone(texts: DataFrame, groups: DataFrame, sizes: tuple[DataFrame, int] | None, n: int, percent: int) -> DataFrame:
+    """Edges within groups that fit a task; about BLOCK members go to a task together."""
+    if not sizes:
+        return groups.where("false").select(F.col("id").alias("a"), F.col("id").alias("b"))
+    own = texts.join(groups.join(sizes[0], "grp").select("id", "grp"), "id")
+    return _tasks(own.select("id", "body", F.pmod(F.xxhash64("grp"), F.lit(ceil(sizes[1] / BLOCK))).alias("task"), "grp", F.lit(0).alias("side")), n, percent)
+
+
+def _large(rows: DataFrame, n: int, percent: int) -> list[DataFrame]:
     """Edges within candidate groups of more than BLOCK members.
 
     First each block alone, so that the copies of one text soon are one component; then blocks are made anew, sorted by what is
