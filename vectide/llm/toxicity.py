@@ -2,8 +2,9 @@
 
 Each class has a Kneser-Ney model of how its words are spelt: the highest order has counts of the class, all lower orders
 are continuation counts that both classes share. So a rare expression that a class hasn't seen falls back to the same
-estimate in both, and only discounts differ. A text's score compares its log-likelihoods under both models, divided by its
-number of distinct words, on a scale fitted by logistic regression to training rows that the models haven't seen.
+estimate in both, and only discounts differ. A text's toxic and ordinary log-likelihoods are compared word by word and
+divided by its number of distinct words: as a mean, as a mean of what is clearly toxic, as a mixture of both classes, and
+for its most toxic words. Logistic regression, fitted to training rows that the models haven't seen, puts these on one scale.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ DISCOUNT = 0.75
 TRAIN_ROWS = 20_000  # labelled rows that are looked at, at most
 TUNE = 4  # one in so many of these fits the scale, the others the models
 LONGEST = 40  # characters of a word that are looked at in spelling
+CLEAR = 1.0  # log-likelihood ratio from which a word counts as clearly toxic
+TOP = 3  # most toxic words that are looked at by themselves
 
 
 def words_of(text: str | None) -> set[str]:
@@ -45,14 +48,14 @@ class Model:
 
     gram: dict[str, float] = field(default_factory=dict)
     context: dict[str, float] = field(default_factory=dict)
-    slope: float = 0.0
+    slopes: np.ndarray = field(default_factory=lambda: np.zeros(4))
     offset: float = -20.0
 
     def ratio(self, word: str) -> float:
         return sum(self.gram[g] if g in self.gram else self.context.get(g[:-1], 0.0) for g in grams(word))
 
-    def score(self, mean: float) -> float:
-        return 1 / (1 + exp(-max(-30.0, min(30.0, self.slope * mean + self.offset))))
+    def score(self, features: np.ndarray) -> float:
+        return 1 / (1 + exp(-max(-30.0, min(30.0, float((features * self.slopes).sum()) + self.offset))))
 
 
 def fit_models(counts: dict[str, tuple[int, int]]) -> Model:
@@ -114,39 +117,45 @@ def _shared_backoff(seen):
     return probability
 
 
-def fit_scale(means: np.ndarray, toxic: np.ndarray, rounds: int = 50) -> tuple[float, float]:
-    """Slope and offset of a logistic regression with a weak ridge, by Newton's method."""
-    if not len(means) or toxic.min() == toxic.max():
-        return 0.0, -20.0 if not len(means) or not toxic.max() else 20.0
-    spread = float(means.std()) or 1.0
-    x = np.stack([(means - means.mean()) / spread, np.ones(len(means))], axis=1)
-    w = np.zeros(2)
+def fit_scale(features: np.ndarray, toxic: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, float]:
+    """Slopes and offset of a logistic regression with a weak ridge, by Newton's method."""
+    if not len(toxic) or toxic.min() == toxic.max():
+        return np.zeros(4), 20.0 if len(toxic) and toxic.max() else -20.0
+    mean, spread = features.mean(axis=0), features.std(axis=0) + 1e-9
+    x = np.concatenate([(features - mean) / spread, np.ones((len(toxic), 1))], axis=1)
+    w, ridge = np.zeros(x.shape[1]), 0.1 * np.eye(x.shape[1])
+    ridge[-1, -1] = 1e-6
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(2), x.T @ (toxic - p) - 1e-2 * w)
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge, x.T @ (toxic - p) - ridge @ w)
         w += np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-8:
             break
-    return float(w[0] / spread), float(w[1] - w[0] * means.mean() / spread)
+    return w[:-1] / spread, float(w[-1] - (w[:-1] / spread * mean).sum())
+
+
+def features_of(ratios: np.ndarray) -> np.ndarray:
+    """Of the log-likelihood ratios of a text's distinct words."""
+    if not len(ratios):
+        ratios = np.zeros(1)
+    return np.array([ratios.mean(), np.maximum(ratios - CLEAR, 0).mean(), np.log(np.exp(np.minimum(ratios, 6.0)).mean()), np.sort(ratios)[-TOP:].mean()])
 
 
 class _Scorer:
-    """Means over distinct words; ratios of words are kept until there are too many."""
+    """Features of texts; ratios of words are kept until there are too many."""
 
     def __init__(self, model: Model):
         self.model, self.known = model, {}
 
-    def mean(self, text: str | None) -> float:
+    def features(self, text: str | None) -> np.ndarray:
         words = words_of(text)
         if len(self.known) > 300_000:
             self.known.clear()
-        total = 0.0
-        for w in sorted(words):  # so that sums don't depend on the order of a set
-            r = self.known.get(w)
-            if r is None:
-                r = self.known[w] = self.model.ratio(w)
-            total += r
-        return total / max(1, len(words))
+        for w in words:
+            if w not in self.known:
+                self.known[w] = self.model.ratio(w)
+        # sorted, so that sums don't depend on the order of a set
+        return features_of(np.sort(np.fromiter((self.known[w] for w in words), float, len(words))))
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS) -> Model:
@@ -174,19 +183,19 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     def means(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _Scorer(sent.value)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([scorer.mean(t) for t in batch.column(0).to_pylist()], pa.float64()), batch.column(1)], names=["m", "toxic"])
+            yield pa.RecordBatch.from_arrays([pa.array([scorer.features(t) for t in batch.column(0).to_pylist()], pa.list_(pa.float64())), batch.column(1)], names=["m", "toxic"])
 
-    tuned = known.where("tune").mapInArrow(means, "m double, toxic int").collect()
+    tuned = known.where("tune").mapInArrow(means, "m array<double>, toxic int").collect()  # some of train_rows rows
     rows = sorted((r["m"], r["toxic"]) for r in tuned)
-    model.slope, model.offset = fit_scale(np.array([m for m, _ in rows]), np.array([t for _, t in rows], dtype=float))
+    model.slopes, model.offset = fit_scale(np.array([m for m, _ in rows]).reshape(-1, 4), np.array([t for _, t in rows], dtype=float))
     return model
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, held_out, score, predicted) for each row of docs.
 
-    held_out: crc32(id as text) mod 5 is 0; null if the id is null. A null text counts as empty; an empty text has no words and
-    the score of a mean of 0. Without labelled rows of both classes the score is near 0 (or 1, if all are toxic). Rows that repeat
+    held_out: crc32(id as text) mod 5 is 0; null if the id is null. A null text counts as empty; an empty text scores
+    like one whose words are as likely in both classes. Without labelled rows of both classes the score is near 0 (or 1, if all are toxic). Rows that repeat
     an id come back one by one. An empty table gives an empty result.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
@@ -197,7 +206,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([model_score(scorer, t) for t in texts], pa.float64())], names=["id", "score"])
 
     def model_score(scorer: _Scorer, text: str | None) -> float:
-        return scorer.model.score(scorer.mean(text))
+        return scorer.model.score(scorer.features(text))
 
     two = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
     scored = two.mapInArrow(run, "id long, score double")
