@@ -76,8 +76,9 @@ class Rule:
 
 
 def _prose() -> Column:
-    tame = [_share("n_symbols", "n_words") <= 0.05, _share("n_upper", "word_chars") <= 0.1, _share("n_cries", "n_words") <= 0.03, _share("n_repeat_words", "n_words") <= 0.15]
-    out = _share("word_chars", "n_words").between(3, 9)
+    # not far below where other rules call a text bad: a text in between would look bad just for lack of this vote
+    tame = [_share("n_symbols", "n_words") <= 0.2, _share("n_upper", "word_chars") <= 0.25, _share("n_cries", "n_words") <= 0.15, _share("n_repeat_words", "n_words") <= 0.4]
+    out = _share("word_chars", "n_words").between(3, 11)
     for x in tame:
         out = out & x
     return out
