@@ -6,6 +6,7 @@ BPE merges are rebuilt. Batches are encoded on several threads.
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 from collections.abc import Iterator
@@ -13,6 +14,7 @@ from dataclasses import dataclass, field
 from pathlib import Path
 from struct import unpack_from
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +24,7 @@ MARK = "▁"
 # Fixed values of the format: kinds of pieces and of models.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
+KEPT = 500_000  # words whose ids a worker keeps
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes | float]]:
@@ -133,43 +136,137 @@ def normalised(text: str, spec: Spec) -> str:
     return re.sub(" +", " ", text).strip(" ") if spec.squeeze else text
 
 
-def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", parity: bool = True, threads: int = 2, batch: int = 64) -> DataFrame:
+Encoded = tuple[list[np.ndarray], list[bool | None], list[bool | None]]
+
+
+class _Spelling:
+    """What ids spell, to compare with the normalised text. Models with a character map can't be compared."""
+
+    def __init__(self, spec: Spec):
+        self.pieces = [bytes.fromhex(text[3:5]) if kind == BYTE else text.replace(MARK, " ").encode() for text, _, kind in spec.pieces]
+        self.skip, self.mapped = int(spec.dummy_prefix), bool(spec.charsmap)
+
+    def right(self, ids: list[int], text: str) -> bool | None:
+        return None if self.mapped else b"".join(map(self.pieces.__getitem__, ids))[self.skip :] == text.encode()
+
+
+class WordEncoder:
+    """Encodes texts word by word, as no piece crosses a marker; words that are new in a batch go to the library together.
+
+    Each new word's ids are compared with those of the reference, if there is one, and with its spelling, once. odd holds the words
+    that the reference encodes otherwise (then its ids count), misspelt those that aren't spelt by their ids.
+    """
+
+    def __init__(self, spec: Spec, reference, threads: int):
+        self.spec, self.reference, self.threads, self.tokenizer, self.spelling = spec, reference, threads, build(spec), _Spelling(spec)
+        self.cut = re.compile(f"{MARK}+[^{MARK}]*").findall
+        one = reference.encode if reference else lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids
+        self.blank = {MARK: np.array(one("a ")[len(one("a")) :], np.int32).tobytes()}  # no text is just this word
+        self.known: dict[str, bytes] = dict(self.blank)
+        self.odd: set[str] = set()
+        self.misspelt: set[str] = set()
+
+    @staticmethod
+    def fits(spec: Spec) -> bool:
+        return can_cut(spec) and spec.dummy_prefix and not spec.charsmap
+
+    def learn(self, new: list[str]) -> None:
+        """The words are laid end to end in one text for each thread; each token knows the word that it is of."""
+        solid, blank = [w for w in new if w.strip(MARK)], [w for w in new if not w.strip(MARK)]  # markers alone would run into the next word
+        share = max(1, -(-len(solid) // self.threads))
+        parts = [solid[k : k + share] for k in range(0, len(solid), share)] + [[w] for w in blank]
+        found: dict[str, list[int]] = {}
+        for words, e in zip(parts, self.tokenizer.encode_batch(["".join(p).replace(MARK, " ")[1:] for p in parts], add_special_tokens=False), strict=True):
+            ids = e.ids
+            at = [*np.flatnonzero(np.diff(np.array(e.word_ids), prepend=-1)).tolist(), len(ids)]
+            if len(at) != len(words) + 1:
+                raise ValueError("words were cut otherwise than expected")
+            found.update((w, ids[at[k] : at[k + 1]]) for k, w in enumerate(words))
+        texts = [w.replace(MARK, " ")[1:] for w in found]
+        if self.reference:
+            for w, ids in zip(list(found), self.reference.encode(texts, num_threads=self.threads), strict=True):
+                if ids != found[w]:
+                    self.odd.add(w)
+                    found[w] = ids
+        self.misspelt.update(w for w, text in zip(found, texts, strict=True) if not self.spelling.right(found[w], text))
+        self.known.update((w, np.array(ids, np.int32).tobytes()) for w, ids in found.items())
+
+    def encode(self, texts: list[str]) -> Encoded:
+        plain = [normalised(t, self.spec) for t in texts]
+        cut = [self.cut(MARK + t.replace(" ", MARK)) if t else [] for t in plain]
+        if len(self.known) > KEPT:
+            self.known = dict(self.blank)
+        if new := [w for w in set().union(*cut) if w not in self.known]:
+            self.learn(new)
+        none = lambda bad, words: not bad or bad.isdisjoint(words)
+        same = [None if self.reference is None else none(self.odd, words) for words in cut]
+        trip = [none(self.misspelt, words) and MARK not in t for words, t in zip(cut, plain, strict=True)]
+        return [np.frombuffer(b"".join(map(self.known.__getitem__, words)), np.int32) for words in cut], trip, same
+
+
+class TextEncoder:
+    """Encodes whole texts, for models whose pieces may cross markers or that map characters."""
+
+    def __init__(self, spec: Spec, reference, threads: int):
+        self.spec, self.reference, self.threads, self.tokenizer, self.spelling = spec, reference, threads, build(spec), _Spelling(spec)
+
+    def encode(self, texts: list[str]) -> Encoded:
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        same: list[bool | None] = [None] * len(ids)
+        if self.reference is not None:
+            right = self.reference.encode(texts, num_threads=self.threads)
+            ids, same = right, [a == b for a, b in zip(ids, right, strict=True)]
+        trip = [self.spelling.right(x, normalised(t, self.spec)) for x, t in zip(ids, texts, strict=True)]
+        return [np.array(x, np.int32) for x in ids], trip, same
+
+
+_ENCODERS: dict[tuple, WordEncoder | TextEncoder] = {}  # of this worker; the words of one task serve the next
+
+
+def _encoder(model: bytes, parity: bool, threads: int) -> WordEncoder | TextEncoder:
+    key = (hash(model), parity, threads)
+    if key not in _ENCODERS:
+        spec, reference = parse(model), None
+        if parity:
+            import sentencepiece
+
+            reference = sentencepiece.SentencePieceProcessor(model_proto=model)
+        _ENCODERS.clear()
+        _ENCODERS[key] = (WordEncoder if WordEncoder.fits(spec) else TextEncoder)(spec, reference, threads)
+    return _ENCODERS[key]
+
+
+def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", parity: bool = True, threads: int = 2, batch: int = 256) -> DataFrame:
     """(id, ids, n_tokens, round_trip, same) for each row of docs.
 
-    round_trip: decoding ids gives the normalised text (null if the model has a character map). same: the sentencepiece library
-    gives the same ids (null with parity off); where it doesn't, its ids are taken, so ids are always right.
+    round_trip: the pieces of ids spell the normalised text (null if the model has a character map); false for a text that itself
+    holds the marker, which comes back as a space. same: the sentencepiece library
+    gives the same ids for every word of the text, or for the whole text if words can't be told apart (null with parity off); where
+    it doesn't, its ids are taken.
     A null text has null ids and 0 tokens, an empty one has no ids. Rows that repeat an id and null ids come back one by one. An
     empty table gives an empty result. The model file is read by the driver and sent to executors.
     """
-    data = Path(model_path).read_bytes()
-    sent = docs.sparkSession.sparkContext.broadcast(data)
+    sent = docs.sparkSession.sparkContext.broadcast(Path(model_path).read_bytes())
     schema = pa.schema([("id", pa.int64()), ("ids", pa.list_(pa.int32())), ("n_tokens", pa.int64()), ("round_trip", pa.bool_()), ("same", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "true"
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
-        spec = parse(sent.value)
-        tokenizer, reference = build(spec), None
-        spelt, skip = [bytes.fromhex(text[3:5]) if kind == BYTE else text.replace(MARK, " ").encode() for text, _, kind in spec.pieces], int(spec.dummy_prefix)
-        if parity:
-            import sentencepiece
-
-            reference = sentencepiece.SentencePieceProcessor(model_proto=sent.value)
-        for rows in batches:
-            for at in range(0, rows.num_rows, batch):
-                part = rows.slice(at, batch)
-                texts = part.column(1).to_pylist()
-                given = [t or "" for t in texts]
-                ids = [e.ids for e in tokenizer.encode_batch_fast(given, add_special_tokens=False)]
-                same = [None] * len(ids)
-                if reference:
-                    right = reference.encode(given, num_threads=threads)
-                    same = [a == b for a, b in zip(ids, right, strict=True)]
-                    ids = right
-                trip = [None if spec.charsmap else b"".join(map(spelt.__getitem__, x))[skip:] == normalised(t, spec).encode() for x, t in zip(ids, given, strict=True)]
-                none = [t is None for t in texts]
-                columns = [[None if n else x for n, x in zip(none, c, strict=True)] for c in (ids, trip, same)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(columns[0], pa.list_(pa.int32())), pa.array([0 if n else len(x) for n, x in zip(none, ids, strict=True)], pa.int64()), pa.array(columns[1], pa.bool_()), pa.array(columns[2], pa.bool_())], schema=schema)
+        encoder = _encoder(sent.value, parity, threads)
+        gc.disable()  # what lives long are bytes, and nothing is part of a cycle
+        try:
+            for rows in batches:
+                for at in range(0, rows.num_rows, batch):
+                    part = rows.slice(at, batch)
+                    texts = part.column(1).to_pylist()
+                    none = [t is None for t in texts]
+                    ids, trip, same = encoder.encode([t or "" for t in texts])
+                    ends = np.cumsum([0, *map(len, ids)])
+                    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.empty(0, np.int32), *ids])), mask=pa.array(none))
+                    trip, same = ([None if n else x for n, x in zip(none, c, strict=True)] for c in (trip, same))
+                    yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(np.diff(ends), pa.int64()), pa.array(trip, pa.bool_()), pa.array(same, pa.bool_())], schema=schema)
+        finally:
+            gc.enable()
 
     two = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
     return two.mapInArrow(run, "id long, ids array<int>, n_tokens long, round_trip boolean, same boolean").withColumnRenamed("id", id_col)
