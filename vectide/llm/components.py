@@ -24,19 +24,23 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where(F.col("u") != F.col("v")).distinct()
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether the edges are stars: each node hangs on one node, which hangs on none."""
+    n, nodes = edges.agg(F.count("u"), F.count_distinct("u")).first()
+    return n == nodes and (n == 0 or edges.join(edges.select(F.col("v").alias("u")).distinct(), "u", "left_semi").isEmpty())
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) for each node of edges(a, b): the smallest node that can be reached.
 
     Self-loops and nulls are ignored; an empty table gives an empty result. Each round is written to the shared folder.
-    Rounds end when an edge table hashes as the one before; at most max_rounds, else a RuntimeError (never a wrong result).
+    Rounds end when only stars are left; at most max_rounds, else a RuntimeError (never a wrong result).
     """
     now = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    now, before = materialize(now, "cc"), None
+    # first a small star: where nodes hang on several others, those are joined once instead of for each node
+    now = materialize(_star(materialize(now, "cc"), False), "cc")
     for _ in range(max_rounds):
-        # a forest of stars: each node hangs on one, and nothing hangs on a node that hangs itself
-        n, nodes, tally = now.agg(F.count("u"), F.count_distinct("u"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if n == 0 or (n, tally) == before:
+        if _settled(now):
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select("v", "v").distinct())
-        before = (n, tally)
         now = materialize(_star(_star(now, True), False), "cc")
-    raise RuntimeError(f"components: not converged in {max_rounds} rounds")
+    raise RuntimeError(f"components: not settled in {max_rounds} rounds")
