@@ -77,6 +77,18 @@ def test_novelty_tells_random_from_repeated():
     assert meter.bits(f"key = {random}", 6, 6 + len(random)) > 2 * meter.bits(f"key = {known}", 6, 6 + len(known))
 
 
+CONTEXT_NAMES = "passphrase pwd credential credentials private_key privatekey access_key accesskey secret_key SECRETKEY auth authorization bearer signature session_id sessionid client_secret clientsecret conn_str connectionstring connection_string".split()
+
+
+@pytest.mark.parametrize("name", CONTEXT_NAMES)
+def test_each_sensitive_name_alone(name):
+    meter, random = secret_scan._Meter(secret_scan.Novelty()), "q8Zr1LkP0vX3mN7sT2wY5uB9"
+    for text in (f"{name} {random}", f"{name} '{random}'"):
+        at = text.index(random)
+        assert secret_scan.scan_text(text, meter)[1] == [(at, 3, at + len(random))]
+        assert secret_scan.masked(text, meter) == text.replace(random, "[SECRET]")
+
+
 def naive_pack(pieces, capacity, per_source):
     """Every bin is looked at for every piece."""
     bins, out = [], []

@@ -31,7 +31,7 @@ CONTEXT = re.compile(
     re.ASCII | re.IGNORECASE,
 )
 HINTS = ("pass", "secret", "token", "api", "akia")
-MORE_HINTS = ("passphrase", "pwd", "credential", "private", "access", "auth", "bearer", "signature", "session", "conn")
+MORE_HINTS = ("passphrase", "pwd", "credential", "private", "access", "secret", "auth", "bearer", "signature", "session", "conn")  # one in each name of CONTEXT
 
 # What code and settings around a secret are made of; primes the compressor.
 IDENTIFIERS = """
