@@ -308,6 +308,20 @@ def test_kneser_ney_sums_to_one():
     assert sum(shared("^" * 4 + c) for c in "abc$") == pytest.approx(1, abs=0.25) and shared("zzzzz") > 0
 
 
+def test_toxicity_counts_every_labelled_row(spark):
+    """An expression of a single labelled text counts, in whichever training row it stands."""
+    docs = spark.createDataFrame([(k, f"plain words {'vwxyz'[k % 5]}{chr(97 + k % 26)}q{chr(97 + k // 26)}", int(k % 3 == 0)) for k in range(400)], "doc_id long, text string, toxic int")
+    model = toxicity.fit(docs, docs.select("doc_id", "toxic"))
+    train = [r for r in docs.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0).collect()]
+    counts = {}
+    for r in train:
+        for w in toxicity.words_of(r["text"]):
+            counts.setdefault(w, [0, 0])[r["toxic"]] += 1
+    assert sum(sum(x) == 1 for x in counts.values()) > 100
+    want = toxicity.fit_models(counts)
+    assert model.gram == pytest.approx(want.gram) and model.context == pytest.approx(want.context)
+
+
 def brute_nearest(v, every, k):
     ids = sorted(v)
     out = []

@@ -4,7 +4,8 @@ Each class has a Kneser-Ney model of how its words are spelt: the highest order
 are continuation counts that both classes share. So a rare expression that a class hasn't seen falls back to the same
 estimate in both, and only discounts differ. A text's toxic and ordinary log-likelihoods are compared word by word and
 divided by its number of distinct words: as a mean, as a mean of what is clearly toxic, as a mixture of both classes, and
-for its most toxic words. Logistic regression, fitted to training rows that the models haven't seen, puts these on one scale.
+for its most toxic words. Logistic regression puts these on one scale: it is fitted to a sample of training rows, by models that
+haven't seen them. Then the models are built anew from all training rows, expressions of a single text included.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ from .common import rows_of
 LETTERS = re.compile(r"[^\W\d_]+")
 ORDER = 6  # characters of a gram
 DISCOUNT = 0.75
-TRAIN_ROWS = 20_000  # labelled rows that are looked at, at most
-TUNE = 4  # one in so many of these fits the scale, the others the models
+TUNE = 4  # one labelled row in so many may fit the scale
+SCALE_ROWS = 5_000  # labelled rows that fit the scale, at most
 LONGEST = 40  # characters of a word that are looked at in spelling
 CLEAR = 1.0  # log-likelihood ratio from which a word counts as clearly toxic
 TOP = 3  # most toxic words that are looked at by themselves
@@ -66,6 +67,11 @@ def fit_models(counts: dict[str, tuple[int, int]]) -> Model:
             for c in (0, 1):
                 if by_class[c]:
                     own[c][g] += by_class[c]
+    return fit_grams(own)
+
+
+def fit_grams(own: list[Counter]) -> Model:
+    """From the grams of the words of ordinary and of toxic texts, with their numbers."""
     if not own[0] or not own[1]:
         return Model()
     shared = _shared_backoff(own[0].keys() | own[1].keys())
@@ -158,35 +164,61 @@ class _Scorer:
         return features_of(np.sort(np.fromiter((self.known[w] for w in words), float, len(words))))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS) -> Model:
-    """Learn from the labelled rows whose crc32(id as text) mod 5 is not 0, at most train_rows, in order of a hash of the id."""
-    ids = F.col("doc_id")
-    own = labels.where(F.col("toxic").isNotNull() & ids.isNotNull() & (F.crc32(ids.cast("string").cast("binary")) % 5 != 0))
-    own = own.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
-    # at most train_rows rows of two numbers
-    known = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).join(F.broadcast(own), "doc_id")
-    known = known.select("text", "toxic", (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(TUNE)) == 0).alias("tune"))
+def count_grams(known: DataFrame) -> DataFrame:
+    """(g, o0, o1, t0, t1): how often ordinary and toxic texts have each gram, once for each of a text's distinct words; o in rows
+    that don't fit the scale, t in those that do. From (text, toxic, tune); every row and every gram counts.
+    """
+    names = ["g", "o0", "o1", "t0", "t1"]
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = [Counter(), Counter()]
-            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                n[toxic].update(words_of(text))
-            both = list(n[0].keys() | n[1].keys())
-            yield pa.RecordBatch.from_arrays([pa.array(both, pa.string()), *[pa.array([x[w] for w in both], pa.int64()) for x in n]], names=["w", "n0", "n1"])
-
-    counted = known.where("not tune").mapInArrow(spell, "w string, n0 long, n1 long").groupBy("w").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    counted = counted.where("n0 + n1 > 1")  # a word of one text says nothing of others
-    model = fit_models({r["w"]: (r["n0"], r["n1"]) for r in counted.toLocalIterator()})
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+            n = [Counter() for _ in range(4)]
+            for text, toxic, tune in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                n[toxic + 2 * tune].update(words_of(text))
+            own = [Counter() for _ in range(4)]
+            for x, words in zip(own, n, strict=True):
+                for w, times in words.items():
+                    for g in grams(w):
+                        x[g] += times
+            every = list(set().union(*own))
+            yield pa.RecordBatch.from_arrays([pa.array(every, pa.string()), *[pa.array([x[g] for g in every], pa.int64()) for x in own]], names=names)
+
+    counted = known.select("text", "toxic", "tune").mapInArrow(spell, "g string, o0 long, o1 long, t0 long, t1 long")
+    return counted.groupBy("g").agg(*[F.sum(x).alias(x) for x in names[1:]])
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", scale_rows: int = SCALE_ROWS) -> Model:
+    """Learn from all labelled rows whose crc32(id as text) mod 5 is not 0.
+
+    At most scale_rows of them, in order of a hash of the id, fit the scale. Distinct grams, not rows or words, are what the driver holds.
+    """
+    ids = F.col("doc_id")
+    own = labels.where(F.col("toxic").isNotNull() & ids.isNotNull() & (F.crc32(ids.cast("string").cast("binary")) % 5 != 0))
+    own = own.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    tune = own.where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(TUNE)) == 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(scale_rows)
+    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    # labels grow with the documents, so they aren't broadcast; the tuning rows are at most scale_rows rows of two numbers
+    marked = own.join(F.broadcast(tune.select("doc_id", F.lit(True).alias("tune"))), "doc_id", "left").withColumn("tune", F.coalesce("tune", F.lit(False)))
+    known = texts.where(F.crc32(ids.cast("string").cast("binary")) % 5 != 0).join(marked.hint("merge"), "doc_id")
+    fitting, both = [Counter(), Counter()], [Counter(), Counter()]
+    for r in count_grams(known).toLocalIterator():
+        for c in (0, 1):
+            if r[1 + c]:
+                fitting[c][r[0]] = r[1 + c]
+            if r[1 + c] + r[3 + c]:
+                both[c][r[0]] = r[1 + c] + r[3 + c]
+    sent = docs.sparkSession.sparkContext.broadcast(fit_grams(fitting))
+    del fitting
 
     def means(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _Scorer(sent.value)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([scorer.features(t) for t in batch.column(0).to_pylist()], pa.list_(pa.float64())), batch.column(1)], names=["m", "toxic"])
 
-    tuned = known.where("tune").mapInArrow(means, "m array<double>, toxic int").collect()  # some of train_rows rows
+    tuned = texts.join(F.broadcast(tune), "doc_id").select("text", "toxic").mapInArrow(means, "m array<double>, toxic int").collect()  # scale_rows rows
+    sent.destroy()
     rows = sorted((r["m"], r["toxic"]) for r in tuned)
+    model = fit_grams(both)
     model.slopes, model.offset = fit_scale(np.array([m for m, _ in rows]).reshape(-1, 4), np.array([t for _, t in rows], dtype=float))
     return model
 
