@@ -322,6 +322,16 @@ def test_toxicity_counts_every_labelled_row(spark):
     assert model.gram == pytest.approx(want.gram) and model.context == pytest.approx(want.context)
 
 
+def test_toxicity_reads_long_runs_of_letters():
+    model = toxicity.Model({g: 2.0 for g in toxicity.grams("stupidity")[5:-1]})
+    plain, scorer = "plainwords" * 12, toxicity._Scorer(model)
+    toxic = scorer.features(plain + "stupidity")
+    assert toxic[3] > scorer.features(plain)[3] and toxic[1] > scorer.features(plain)[1]
+    assert sum(model.stretches(plain + "stupidity")) == pytest.approx(model.ratio(plain + "stupidity"))
+    assert len(toxicity.grams("x" * 1000)) == 1001 and scorer.features("plain " + "x" * 100_000) is not None
+    assert toxicity.fit_models({"x" * 50 + "stupidity": (0, 2), "x": (1, 0)}).gram.keys() >= set(toxicity.grams("stupidity")[5:])
+
+
 def brute_nearest(v, every, k):
     ids = sorted(v)
     out = []

@@ -28,7 +28,7 @@ ORDER = 6  # characters of a gram
 DISCOUNT = 0.75
 TUNE = 4  # one labelled row in so many may fit the scale
 SCALE_ROWS = 5_000  # labelled rows that fit the scale, at most
-LONGEST = 40  # characters of a word that are looked at in spelling
+LONGEST = 40  # longest word whose ratio is kept; longer runs of letters are rated in stretches of so many grams
 CLEAR = 1.0  # log-likelihood ratio from which a word counts as clearly toxic
 TOP = 3  # most toxic words that are looked at by themselves
 
@@ -39,7 +39,7 @@ def words_of(text: str | None) -> set[str]:
 
 
 def grams(word: str) -> list[str]:
-    padded = "^" * (ORDER - 1) + word[:LONGEST] + "$"
+    padded = "^" * (ORDER - 1) + word + "$"
     return [padded[k : k + ORDER] for k in range(len(padded) - ORDER + 1)]
 
 
@@ -53,7 +53,15 @@ class Model:
     offset: float = -20.0
 
     def ratio(self, word: str) -> float:
-        return sum(self.gram[g] if g in self.gram else self.context.get(g[:-1], 0.0) for g in grams(word))
+        return sum(self._of_grams(word))
+
+    def stretches(self, word: str) -> list[float]:
+        """Ratios of the stretches of a run of letters without spaces. Each of its grams is in one of them."""
+        each = self._of_grams(word)
+        return [sum(each[k : k + LONGEST]) for k in range(0, len(each), LONGEST)]
+
+    def _of_grams(self, word: str) -> list[float]:
+        return [self.gram[g] if g in self.gram else self.context.get(g[:-1], 0.0) for g in grams(word)]
 
     def score(self, features: np.ndarray) -> float:
         return 1 / (1 + exp(-max(-30.0, min(30.0, float((features * self.slopes).sum()) + self.offset))))
@@ -157,11 +165,16 @@ class _Scorer:
         words = words_of(text)
         if len(self.known) > 300_000:
             self.known.clear()
+        ratios = []
         for w in words:
+            if len(w) > LONGEST:
+                ratios += self.model.stretches(w)
+                continue
             if w not in self.known:
                 self.known[w] = self.model.ratio(w)
+            ratios.append(self.known[w])
         # sorted, so that sums don't depend on the order of a set
-        return features_of(np.sort(np.fromiter((self.known[w] for w in words), float, len(words))))
+        return features_of(np.sort(np.array(ratios, float)))
 
 
 def count_grams(known: DataFrame) -> DataFrame:
@@ -226,7 +239,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, held_out, score, predicted) for each row of docs.
 
-    held_out: crc32(id as text) mod 5 is 0; null if the id is null. A null text counts as empty; an empty text scores
+    held_out: crc32(id as text) mod 5 is 0; null if the id is null. All letters of a text count; a run of more than LONGEST of
+    them, as in scripts without spaces, is rated in stretches. A null text counts as empty; an empty text scores
     like one whose words are as likely in both classes. Without labelled rows of both classes the score is near 0 (or 1, if all are toxic). Rows that repeat
     an id come back one by one. An empty table gives an empty result.
     """
