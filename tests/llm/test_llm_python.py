@@ -261,6 +261,27 @@ def test_html(spark):
     assert got[None]["text"] == "" and html_extract.extract(pages.where("false")).count() == 0
 
 
+ARTICLE = "<article><h1>A</h1><p>one two three</article>"
+
+
+@pytest.mark.parametrize(
+    "before",
+    [
+        "<datalist id=d><option value=a><option value=b></datalist>", "<datalist id=d><option>a<option>b <b>c</b></datalist>", "<select><option>a<option>b</select>", "<select><optgroup label=x><option>a<optgroup label=y><option>b</select>",
+        "<form><select><option>a<option>b</form>", "<nav><datalist><option>a</nav>", "<form><button>go</form>", "<nav><button>a<button>b</button></nav>", "<canvas>", "<object data=x>", "<noscript>", "<template>", "<svg>", "<a href=x><option>o</a>",
+    ],
+)
+def test_html_behind_elements_without_end(before):
+    tree = html_extract.trained()
+    for page in (f"<body>{before}{ARTICLE}", f"<body>{before}{ARTICLE}<nav><select><option>z</select><button>y</button></nav>"):
+        assert html_extract.extract_page(page, tree) == "A\none two three"
+
+
+def test_html_many_elements_without_end():
+    page = "<button>" * 50_000 + "<option>x" * 50_000 + ARTICLE
+    assert html_extract.extract_page(page, html_extract.trained()) == "A\none two three"
+
+
 def test_html_tree_fits_its_table():
     tree = html_extract.trained()
     assert all(html_extract.classify(tree, r[:-1]) == bool(r[-1]) for r in html_extract.LABELLED)

@@ -24,7 +24,7 @@ ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*("[
 # Names of tags.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title select option svg math iframe object canvas head button".split())
+RAW = frozenset("script style noscript template textarea title select datalist optgroup option svg math iframe object canvas head button".split())
 TEXT_ONLY = frozenset("script style textarea title iframe".split())
 BOILER = frozenset("nav footer aside form menu dialog".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -58,6 +58,7 @@ def blocks_of(page: str) -> list[Block]:
     linked: list[str] = []
     stack: list[tuple[str, bool, bool]] = []  # (tag, main, boiler) of open block-level elements
     link, heading, at = 0, False, 0
+    ends: dict[str, dict[int, int | None]] = {}
 
     def flush() -> None:
         if parts:
@@ -85,9 +86,11 @@ def blocks_of(page: str) -> list[Block]:
             if not closing and not m[3].rstrip().endswith("/"):
                 if tag in TEXT_ONLY:
                     end = re.compile(rf"</{tag}[^>]*(?:>|\Z)", re.IGNORECASE).search(page, at)
-                else:
-                    end = _matching(page, at, tag)
-                at = end.end() if end else len(page) if tag != "head" else at
+                    at = end.end() if end else len(page)  # as in HTML: without an end tag, the rest is its text
+                elif tag == "option":
+                    at = _option_end(page, at)
+                elif tag != "optgroup":  # all its text is in options
+                    at = _matching(page, m.start(), at, tag, ends.setdefault(tag, {})) or at
             if tag not in ("svg", "math", "button", "noscript", "template"):
                 flush()
             continue
@@ -130,16 +133,34 @@ def blocks_of(page: str) -> list[Block]:
     return out
 
 
-def _matching(page: str, at: int, tag: str) -> re.Match | None:
-    """The end tag that closes an element opened just before at."""
-    depth = 1
+def _matching(page: str, start: int, at: int, tag: str, known: dict[int, int | None]) -> int | None:
+    """Where the element ends whose tag is page[start:at]; None if no end tag closes it. known: of elements behind one without an end."""
+    if start in known:
+        return known[start]
+    opened = [start]
     for m in re.compile(rf"<(/?){tag}(?=[\s/>])[^>]*(?:>|\Z)", re.IGNORECASE).finditer(page, at):
-        depth += -1 if m[1] else 0 if m[0].endswith("/>") else 1
-        if not depth:
-            return m
+        if m[1]:
+            known[opened.pop()] = m.end()
+            if not opened:
+                return m.end()
+        elif not m[0].endswith("/>"):
+            opened.append(m.start())
+    known.update(dict.fromkeys(opened))
     return None
 
 
+def _option_end(page: str, at: int) -> int:
+    """Where the text of an option ends: at the next tag but inline ones opened in it; at once if there is none."""
+    depth = 0
+    for m in TAG.finditer(page, at):
+        tag = (m[2] or "").lower()
+        if tag and (tag not in INLINE or m[1] and not depth):
+            return m.start()
+        if tag and tag not in VOID:
+            depth += -1 if m[1] else 1
+    return at
+
+
 # ---- the tree --------------------------------------------------------------------------------------------------------
 
 FEATURES = ("words_before", "density_before", "words", "density", "words_after", "density_after", "main", "page_has_main", "boiler", "heading")
@@ -230,7 +251,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """(page_id, url, text, n_chars) for each row of pages.
 
     Blocks keep page order and are joined by \\n; white space within a block is one space. A null, empty or text-free page has
-    the empty text. Broken markup is read as far as it goes: unclosed elements end with the page. Rows that repeat an id, null ids and
+    the empty text. Broken markup is read as far as it goes: unclosed elements end with the page. Of skipped elements without an end tag
+    only the tag is skipped, but a script, style, textarea, title or iframe without one takes the rest of the page, as in HTML; an
+    option ends at the next tag that isn't inline. Rows that repeat an id, null ids and
     null urls come back one by one. An empty table gives an empty result; other columns are ignored.
     """
     three = pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), F.col(f"`{url_col}`").cast("string").alias("url"), F.col(f"`{html_col}`").alias("html"))
