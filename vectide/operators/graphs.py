@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import materialize
-from . import kernels
-from .neighbours import bucket_graph
+from .neighbours import bucket_graph, nearest_in_parts
 from .shards import hash_order
 
 
@@ -46,66 +42,72 @@ class Sketch:
     fanout: int = 3
     repetitions: int = 3
     max_depth: int = 14
+    doubtful_depth: int = 10  # deeper nodes that keep more than unshrunk of their parent are cut by hash
+    unshrunk: float = 0.8
     seed: int = 555
 
 
+STRONG = Sketch(fanout=5, repetitions=5)
+
+
 def sketch_buckets(points: DataFrame, how: Sketch, metric: str = "l2") -> DataFrame:
-    """(bucket, id): all nodes of a level are split in one pass. Leaders are few; they go to executors by node, sizes checked.
+    """(bucket, id): all nodes of a level are split in one pass; nothing but leaders within a checked size goes to the driver.
 
-    A node's points go to their nearest leaders, to several at the top level. Children under tiny are packed together; nodes that don't
-    shrink any more, as copies don't, are cut by hash. Each repetition has leaders of its own.
+    A node's points go to their nearest leaders, to several at the top level. Children under tiny are packed into buckets; nodes that don't
+    shrink any more, as copies don't, are cut by hash. Each repetition has leaders of its own; a table of one bucket has one repetition.
     """
-    spark = points.sparkSession
     vectors = points.select("id", F.col("vec").cast("array<double>").alias("vec"))
     out = None
     for rep in range(how.repetitions):
-        now = vectors.select("id", "vec", F.lit(f"{rep}").alias("node"))
-        for depth in range(how.max_depth + 1):
+        now, depth = vectors.select("id", "vec", F.lit(f"{rep}").alias("node"), F.lit(None).cast("long").alias("above"), F.lit(False).alias("packed")), 0
+        while True:
             now = materialize(now, "sketch")
-            sizes = {r["node"]: r["n"] for r in now.groupBy("node").agg(F.count(F.lit(1)).alias("n")).collect()}
-            big = {n: c for n, c in sizes.items() if c > how.bucket}
-            done = now.where(~F.col("node").isin(list(big))) if big else now
-            out = done.select(F.col("node").alias("bucket"), "id") if out is None else out.unionByName(done.select(F.col("node").alias("bucket"), "id"))
-            if not big:
+            sizes = now.groupBy("node").agg(F.count(F.lit(1)).alias("n"))
+            rows = now.join(sizes, "node")
+            # copies and near-copies don't shrink: they are cut by hash
+            stuck = F.lit(depth > how.max_depth + 1) | (F.lit(depth > how.doubtful_depth + 1) & (F.col("n") > how.unshrunk * F.col("above")))
+            cut = F.pmod(hash_order(how.seed, "id"), F.ceil(F.col("n") / how.bucket))
+            fits = F.col("packed") | (F.col("n") <= how.bucket)
+            small, large = rows.where(fits).select(F.col("node").alias("bucket"), "id"), rows.where(~fits)
+            ended = small.unionByName(large.where(stuck).select(F.concat_ws("#", "node", cut.cast("string")).alias("bucket"), "id"))
+            out = ended if out is None else out.unionByName(ended)
+            rest = large.where(~stuck)
+            if rest.isEmpty():
                 break
-            rest = now.where(F.col("node").isin(list(big)))
-            if depth == how.max_depth:
-                # copies: cut by hash
-                parts = F.create_map(*[F.lit(x) for n, c in big.items() for x in (n, -(-c // how.bucket))])
-                cut = F.pmod(hash_order(how.seed, "id"), parts[F.col("node")])
-                out = out.unionByName(rest.select(F.concat_ws("#", "node", cut.cast("string")).alias("bucket"), "id"))
-                break
-            wanted = {n: min(how.most_leaders, max(how.least_leaders, how.top_leaders if depth == 0 else int(how.share * c))) for n, c in big.items()}
-            limit = F.create_map(*[F.lit(x) for n, m in wanted.items() for x in (n, m)])
-            order = Window.partitionBy("node").orderBy(hash_order(how.seed + 7919 * rep + depth, "id", "node"), "id")
-            chosen = rest.withColumn("r", F.row_number().over(order)).where(F.col("r") <= limit[F.col("node")]).select("node", "r", "vec").collect()
-            leaders: dict[str, np.ndarray] = {n: np.array([r["vec"] for r in sorted((x for x in chosen if x["node"] == n), key=lambda x: x["r"])]) for n in big}
-            now = _to_leaders(rest, spark.sparkContext.broadcast(leaders), how.fanout if depth == 0 else 1, metric)
-            now = _pack_tiny(now, how)
+            rest = materialize(rest, "rest")
+            now = _pack_tiny(_to_leaders(rest, _leaders(rest, how, rep, depth), how.fanout if depth == 0 else 1, metric), how)
+            depth += 1
+        if depth == 0:
+            break
     return out
 
 
-def _to_leaders(rows: DataFrame, leaders, fanout: int, metric: str) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids, vecs, nodes = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()
-            rows = []
-            for i, v, n in zip(ids, vecs, nodes, strict=True):
-                d = kernels.distances(leaders.value[n], np.asarray(v), metric)
-                rows += [(i, v, f"{n}.{int(c)}") for c in np.argsort(d, kind="stable")[:fanout]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.list_(pa.float64()), pa.string()), strict=True)], names=["id", "vec", "node"]) if rows else b
+def _leaders(rest: DataFrame, how: Sketch, rep: int, depth: int) -> DataFrame:
+    """(id, vec, part): the leaders of each node, by a hash order; only rows under a hash threshold of about twice as many are ordered."""
+    n = F.col("n")
+    wanted = F.lit(how.top_leaders).cast("long") if depth == 0 else F.floor(n * how.share)
+    wanted = F.least(F.lit(how.most_leaders).cast("long"), F.greatest(F.lit(how.least_leaders).cast("long"), wanted))
+    keyed = rest.select("id", "vec", "node", wanted.alias("wanted"), "n", hash_order(how.seed + 7919 * rep + depth, "id", "node").alias("h"))
+    near = keyed.where((F.col("h") / 2.0**64 + 0.5) * F.col("n") <= 2 * F.col("wanted") + 64)
+    r = F.row_number().over(Window.partitionBy("node").orderBy("h", "id"))
+    return near.withColumn("r", r).where(F.col("r") <= F.col("wanted")).select(F.col("r").cast("long").alias("id"), "vec", F.col("node").alias("part"))
+
 
-    return rows.select(F.col("id").cast("long").alias("id"), "vec", "node").mapInArrow(run, "id long, vec array<double>, node string")
+def _to_leaders(rows: DataFrame, leaders: DataFrame, fanout: int, metric: str) -> DataFrame:
+    near = nearest_in_parts(rows.select("id", "vec", F.col("node").alias("part")), materialize(leaders, "leaders"), fanout, metric)
+    child = near.select("id", F.col("part").alias("node"), "leader")
+    return rows.join(child, ["id", "node"]).select("id", "vec", F.concat_ws(".", "node", F.col("leader").cast("string")).alias("node"), F.col("n").alias("above"))
 
 
 def _pack_tiny(rows: DataFrame, how: Sketch) -> DataFrame:
     """Children under tiny, smallest first, share buckets of about how.merged points. One row for each child is ordered."""
     parent = F.regexp_extract("node", r"^(.*)\.[^.]*$", 1)
+    rows = materialize(rows, "children")
     sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).withColumn("parent", parent)
     so_far = F.sum("n").over(Window.partitionBy("parent").orderBy("n", "node"))
     packed = sizes.where(F.col("n") < how.tiny).withColumn("bin", F.floor(so_far / F.lit(how.merged)))
     to = packed.select("node", F.concat("parent", F.lit(".m"), F.col("bin").cast("string")).alias("to"))
-    return rows.join(to, "node", "left").select("id", "vec", F.coalesce("to", "node").alias("node"))
+    return rows.join(to, "node", "left").select("id", "vec", F.coalesce("to", "node").alias("node"), "above", F.col("to").isNotNull().alias("packed"))
 
 
 def approximate_graph(points: DataFrame, k: int, how: Sketch | None = None, metric: str = "l2") -> DataFrame:

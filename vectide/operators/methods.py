@@ -5,20 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable
 from math import ceil
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import materialize
 from . import centroids
-from .graphs import Sketch, approximate_graph, symmetrise
-from .neighbours import closest_leaders, exact_graph
+from .graphs import STRONG, Sketch, approximate_graph, symmetrise
+from .neighbours import closest_leaders
 from .overlap import overlap_by_centers, overlapping_graph_partition
 from .partitioner import partition_graph
 from .shards import random_shards
 from .trees import TreeOptions, train_trees
 
 EPSILON = 0.05
-EXACT_BELOW = 20_000  # points; fewer get an exact graph
 
 
 def capacity(n: int, k: int, epsilon: float = EPSILON) -> int:
@@ -26,9 +26,8 @@ def capacity(n: int, k: int, epsilon: float = EPSILON) -> int:
 
 
 def neighbour_graph(points: DataFrame, degree: int = 10, strong: bool = False, metric: str = "l2") -> DataFrame:
-    if points.count() <= EXACT_BELOW:
-        return exact_graph(points, degree, metric)
-    return approximate_graph(points, degree, Sketch(fanout=5, repetitions=5) if strong else Sketch(), metric)
+    """The sketched kNN graph, written out as it is read many times; exact where all points are one bucket of the sketch."""
+    return materialize(approximate_graph(points, degree, STRONG if strong else Sketch(), metric), "knn")
 
 
 def _unit(points: DataFrame) -> DataFrame:
@@ -49,9 +48,9 @@ def pyramid(points: DataFrame, k: int, metric: str = "l2", sample: int = 10_000_
     cap, m = capacity(n, k), max(k, min(aggregates, n // 4 or 1))
     picked = centroids.random_sample(points, min(sample, n), 555) if sample < n else points
     _, at = centroids.kmeans(picked, centroids.sample_vectors(picked, m), metric, 5)
-    spark = points.sparkSession
-    nodes = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(at)], "id long, vec array<double>")
-    owner = materialize(partition_graph(symmetrise(neighbour_graph(nodes, min(10, len(at) - 1), metric=metric)), _unit(nodes), k, EPSILON), "aggregates")
+    nodes = points.sparkSession.createDataFrame(pa.table({"id": pa.array(range(len(at)), pa.int64()), "vec": pa.array(list(at), pa.list_(pa.float64()))}))
+    graph = materialize(symmetrise(neighbour_graph(nodes, min(10, len(at) - 1), metric=metric)), "graph")
+    owner = materialize(partition_graph(graph, _unit(nodes), k, EPSILON), "aggregates")
     waiting, done, room = points.select("id", "vec"), None, {s: cap for s in range(k)}
     while True:
         free = [s for s, r in room.items() if r > 0]
@@ -81,7 +80,7 @@ def leaf_pyramid(points: DataFrame, k: int, metric: str = "l2", ratio: float = 0
     leaves, at = centroids.hierarchical_kmeans(points, ratio, metric=metric)
     leaves, at = materialize(leaves, "leaves"), materialize(at, "leaf-centers")
     nodes = at.select(F.col("leaf").cast("long").alias("id"), "vec")
-    graph = symmetrise(neighbour_graph(nodes, 20, metric=metric))
+    graph = materialize(symmetrise(neighbour_graph(nodes, 20, metric=metric)), "graph")
     of = partition_graph(graph, at.select(F.col("leaf").cast("long").alias("id"), F.col("size").alias("weight")), k, EPSILON)
     return leaves.join(of.select(F.col("id").cast("int").alias("leaf"), "shard"), "leaf").select("id", "shard")
 
@@ -107,6 +106,7 @@ def _grown(points: DataFrame, k: int, overlap: float) -> int:
 METHODS: dict[str, Callable[[DataFrame, int, float, str], DataFrame]] = {
     "Random": lambda p, k, o, m: random_shards(p, k),
     "GP": lambda p, k, o, m: METHODS["OGP"](p, k, o, m) if o else graph_partition(p, k, m),
+    "StrongGP": lambda p, k, o, m: graph_partition(p, k, m, strong=True),
     "Pyramid": lambda p, k, o, m: pyramid(p, k, m),
     "OurPyramid": lambda p, k, o, m: leaf_pyramid(p, k, m),
     "KMeans": lambda p, k, o, m: centroids.recursive_kmeans(p, k, capacity(p.count(), k), m),

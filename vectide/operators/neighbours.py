@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from math import ceil
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +15,7 @@ from . import kernels
 
 POINT_BLOCK = 16_384
 QUERY_BLOCK = 2_048
+LEADER_BYTES = 64 << 20  # leaders that go to every executor at most
 
 
 def rank_within(found: DataFrame, keys: list[str], k: int, order: tuple[str, str] = ("dist", "neighbor_id")) -> DataFrame:
@@ -36,20 +38,54 @@ def block_search(points: DataFrame, queries: DataFrame, k: int, metric: str = "l
     left = points.join(sizes, "part").select("part", F.col("id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("v"), F.lit(False).alias("ask"), mine("bp", "id").alias("b"), every("bq").alias("a"))
     right = queries.join(sizes, "part").select("part", F.col("query_id").cast("long").alias("id"), F.col("qvec").cast("array<double>").alias("v"), F.lit(True).alias("ask"), every("bp").alias("b"), mine("bq", "query_id").alias("a"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ask = pdf["ask"].to_numpy()
-        names = ["query_id", "neighbor_id", "dist"]
-        if ask.all() or not ask.any():
-            return pd.DataFrame({"part": [], **{n: [] for n in names}})
-        ids, v = pdf["id"].to_numpy(), np.stack(pdf["v"].to_numpy())
-        found = kernels.top_k(ids[~ask], v[~ask], ids[ask], v[ask], k, metric, exclude_self)
-        return pd.DataFrame({"part": pdf["part"].iloc[0], **dict(zip(names, found, strict=True))})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _runs(batches, 3):
+            ask = block.column("ask").to_numpy(zero_copy_only=False)
+            if ask.all() or not ask.any():
+                continue
+            ids, v = block.column("id").to_numpy(zero_copy_only=False), as_matrix(block.column("v"))
+            q, found, dist = kernels.top_k(ids[~ask], v[~ask], ids[ask], v[ask], k, metric, exclude_self)
+            part = pa.repeat(block.column("part")[0], len(q))
+            yield pa.RecordBatch.from_arrays([part, pa.array(q), pa.array(found), pa.array(dist)], names=["part", "query_id", "neighbor_id", "dist"])
 
     kind = dict(points.dtypes)["part"]
-    found = left.unionByName(right).groupBy("part", "a", "b").applyInPandas(run, f"part {kind}, query_id long, neighbor_id long, dist double")
+    # like a grouped map, but small blocks cost no call of their own
+    dealt = left.unionByName(right).select("part", "a", "b", "id", "v", "ask").repartition("part", "a", "b").sortWithinPartitions("part", "a", "b")
+    found = dealt.mapInArrow(run, f"part {kind}, query_id long, neighbor_id long, dist double")
     return rank_within(found, ["part", "query_id"], k).select("part", "query_id", "rank", "neighbor_id", "dist")
 
 
+def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:
+    """Of sorted batches, the runs of rows whose first so many columns are equal, each as one batch."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(c) for c in range(keys)]
+        change = np.zeros(batch.num_rows, bool)
+        for c, column in enumerate(columns):
+            change[0] |= bool(held) and held[-1].column(c)[-1] != column[0]
+            if batch.num_rows > 1:
+                change[1:] |= pc.not_equal(column.slice(1), column.slice(0, batch.num_rows - 1)).to_numpy(zero_copy_only=False)
+        at = 0
+        for end in [*np.flatnonzero(change).tolist(), None]:
+            if end is None:
+                if at < batch.num_rows:
+                    held.append(batch.slice(at))
+                break
+            if end > at:
+                held.append(batch.slice(at, end - at))
+            if held:
+                yield _joined(held)
+            held, at = [], end
+    if held:
+        yield _joined(held)
+
+
+def _joined(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return held[0] if len(held) == 1 else pa.concat_batches(held)
+
+
 def ground_truth(points: DataFrame, queries: DataFrame, k: int, metric: str = "l2", exclude_self: bool = False) -> DataFrame:
     """(query_id, rank, neighbor_id, dist): the k nearest points(id, vec) of each of queries(query_id, qvec), ties to the smaller id."""
     one = F.lit(0).alias("part")
@@ -67,10 +103,62 @@ def exact_graph(points: DataFrame, k: int, metric: str = "l2") -> DataFrame:
     return ground_truth(points, asked, k, metric, exclude_self=True).select(F.col("query_id").alias("src"), F.col("neighbor_id").alias("dst"), "rank", "dist")
 
 
+def nearest_in_parts(rows: DataFrame, leaders: DataFrame, k: int, metric: str = "l2") -> DataFrame:
+    """(part, id, rank, leader, dist): the k nearest leaders(id, vec, part) of each of rows(id, vec, part) in its part.
+
+    Leaders of at most LEADER_BYTES in all go to executors, and rows aren't shuffled; more leaders meet the rows in blocks. Both
+    ways give the same.
+    """
+    kind = dict(rows.dtypes)["part"]
+    given = leaders.select("part", F.col("id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec"))
+    head = given.first()
+    if head is None:
+        return rows.where("false").select("part", F.col("id").cast("long").alias("id"), F.lit(0).alias("rank"), F.lit(0).cast("long").alias("leader"), F.lit(0.0).alias("dist"))
+    most = max(1, LEADER_BYTES // (8 * max(1, len(head["vec"])) + 16))
+    held = given.limit(most + 1).collect()
+    if len(held) > most:
+        asked = rows.select("part", F.col("id").alias("query_id"), F.col("vec").alias("qvec"))
+        found = block_search(leaders.select("part", "id", "vec"), asked, k, metric)
+        return found.select("part", F.col("query_id").alias("id"), F.col("rank").cast("int").alias("rank"), F.col("neighbor_id").alias("leader"), "dist")
+    by: dict = {}
+    for r in held:
+        by.setdefault(r["part"], []).append(r)
+    sent = rows.sparkSession.sparkContext.broadcast({p: (np.array([r["id"] for r in own], np.int64), np.array([r["vec"] for r in own], float)) for p, own in by.items()})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            part, ids = np.array(b.column(0).to_pylist()), b.column(1).to_numpy(zero_copy_only=False)
+            v = as_matrix(b.column(2))
+            for p in np.unique(part):
+                if p.item() not in sent.value:
+                    continue
+                own = np.flatnonzero(part == p)
+                at, center = sent.value[p.item()]
+                if k == 1:
+                    order = np.argsort(at, kind="stable")
+                    index, dist = kernels.nearest_center(v[own], center[order], metric)
+                    row, found, rank = own, at[order][index], np.ones(len(own), np.int32)
+                else:
+                    row, found, dist = kernels.top_k(at, center, own, v[own], k, metric)
+                    rank = (np.arange(len(row)) - np.searchsorted(row, row) + 1).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array([p.item()] * len(row), b.schema.field(0).type), pa.array(ids[row]), pa.array(rank), pa.array(found), pa.array(dist)], names=["part", "id", "rank", "leader", "dist"])
+
+    three = rows.select("part", F.col("id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec"))
+    return three.mapInArrow(run, f"part {kind}, id long, rank int, leader long, dist double")
+
+
+def as_matrix(column: pa.Array) -> np.ndarray:
+    """Rows of a list column of equal lengths, without Python objects."""
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(float, copy=False)
+    return flat.reshape(len(column), -1)
+
+
 def closest_leaders(points: DataFrame, leaders: DataFrame, k: int, metric: str = "l2", farthest_first: bool = False) -> DataFrame:
     """(id, rank, leader, dist): the k nearest leaders(id, vec) of each point."""
-    found = ground_truth(leaders, points.select(F.col("id").alias("query_id"), F.col("vec").alias("qvec")), k, metric)
-    out = found.select(F.col("query_id").alias("id"), "rank", F.col("neighbor_id").alias("leader"), "dist")
+    one = F.lit(0).alias("part")
+    out = nearest_in_parts(points.select("id", "vec", one), leaders.select("id", "vec", one), k, check_metric(metric)).select("id", "rank", "leader", "dist")
     if farthest_first:
         out = out.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("dist"), F.desc("leader"))))
     return out
@@ -110,7 +198,3 @@ def repaired_truth(truth: DataFrame, points: DataFrame, queries: DataFrame, metr
     both = truth.join(points, F.col("neighbor_id") == F.col("id")).join(queries, "query_id")
     fresh = both.select("query_id", "neighbor_id", distance(F.col("vec"), F.col("qvec"), metric).alias("dist"))
     return rank_within(fresh, ["query_id"], 2**31 - 1).select("query_id", "rank", "neighbor_id", "dist")
-
-
-def blocks_for(n: int, size: int = POINT_BLOCK) -> int:
-    return max(1, ceil(n / size))

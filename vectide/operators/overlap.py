@@ -38,16 +38,17 @@ def apply_moves(moves: DataFrame, cover: DataFrame, cap: int, budget: int) -> Da
     return fits.join(take, "shard").where(F.col("place") <= F.col("take")).select("id", "shard")
 
 
-def overlapping_graph_partition(edges: DataFrame, points: DataFrame, k: int, epsilon: float = 0.05, overlap: float = 0.2, max_rounds: int = 60) -> DataFrame:
-    """(id, shard): a graph partition, then rounds of moves with the best affinity, until the budget overlap * n is spent or none is left."""
+def overlapping_graph_partition(edges: DataFrame, points: DataFrame, k: int, epsilon: float = 0.05, overlap: float = 0.2) -> DataFrame:
+    """(id, shard): a graph partition, then rounds of moves with the best affinity, until the budget overlap * n is spent or none is left.
+
+    edges are read in each round, so they should be a written table.
+    """
     n = points.count()
     cap, extra = max(1, int((1 + epsilon) * n / k)), int(overlap * n)
     parts = ceil((n + extra) / cap)
-    base = materialize(partition_graph(symmetrise(edges), points.select("id", F.lit(1).cast("long").alias("weight")), parts, epsilon), "base")
+    base = materialize(partition_graph(materialize(symmetrise(edges), "graph"), points.select("id", F.lit(1).cast("long").alias("weight")), parts, epsilon), "base")
     cover, left = base, extra
-    for _ in range(max_rounds):
-        if left <= 0:
-            break
+    while left > 0:  # each round adds a replica at least
         more = materialize(apply_moves(top_moves(edges, base, cover, cap), cover, cap, left), "moves")
         added = more.count()
         if not added:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from math import ceil
 
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from ..sources.shared import materialize
 from .shards import hash_order
 
-COARSE = 4_000  # nodes that the driver partitions at most
+COARSE = 4_000  # nodes that the driver partitions, give or take a few for each shard
 
 
 def partition_graph(edges: DataFrame, nodes: DataFrame, k: int, epsilon: float = 0.05, rounds: int = 6, seed: int = 555) -> DataFrame:
@@ -31,21 +32,32 @@ def partition_graph(edges: DataFrame, nodes: DataFrame, k: int, epsilon: float =
         up = label.select(F.col("id"), F.col("label"))
         coarse = materialize(now_nodes.join(up, "id").groupBy(F.col("label").alias("id")).agg(F.sum("weight").alias("weight")), "coarse")
         fewer = coarse.count()
-        if fewer > 0.9 * n:
-            break
+        if fewer > 0.9 * n:  # edges don't lead on, as with isolated nodes: put nodes together by weight
+            label = _bundled(now_nodes.join(up, "id").select("id", "label", "weight"), coarse, max(2, min(cap // 4, 4 * total // COARSE)))
+            up = label.select("id", "label")
+            coarse = materialize(now_nodes.join(up, "id").groupBy(F.col("label").alias("id")).agg(F.sum("weight").alias("weight")), "coarse")
+            if coarse.count() >= n:
+                break  # no two nodes fit together: there are no more nodes than a few for each shard
+            fewer = coarse.count()
         a, b = up.select(F.col("id").alias("src"), F.col("label").alias("s")), up.select(F.col("id").alias("dst"), F.col("label").alias("t"))
         levels.append((up, now_edges, now_nodes))
         now_edges = materialize(now_edges.join(a, "src").join(b, "dst").where("s <> t").groupBy(F.col("s").alias("src"), F.col("t").alias("dst")).agg(F.sum("weight").alias("weight")), "contracted")
         now_nodes, n = coarse, fewer
-    shard = _initial(now_edges, now_nodes, k, cap) if n <= 4 * COARSE else _by_hash(now_nodes, k)
+    shard = _initial(now_edges, now_nodes, k, cap)
     for up, fine_edges, fine_nodes in reversed(levels):
         shard = up.join(shard.select(F.col("id").alias("label"), "shard"), "label").select("id", "shard")
         shard = refine(fine_edges, fine_nodes, shard, cap, rounds, seed)
     return shard
 
 
-def _by_hash(nodes: DataFrame, k: int) -> DataFrame:
-    return nodes.select("id", F.pmod(F.xxhash64("id"), F.lit(k)).cast("int").alias("shard"))
+def _bundled(labels: DataFrame, coarse: DataFrame, limit: int) -> DataFrame:
+    """(id, label): labels whose weights together are about limit are made one, in slices by hash of some thousand labels."""
+    slices = max(1, ceil(coarse.count() / 10_000))
+    sliced = coarse.select(F.col("id").alias("label"), "weight", F.pmod(F.xxhash64("id"), F.lit(slices)).alias("slice"))
+    so_far = F.sum("weight").over(Window.partitionBy("slice").orderBy("weight", "label"))
+    binned = sliced.withColumn("bin", F.floor((so_far - F.col("weight")) / F.lit(limit)))
+    one = binned.withColumn("to", F.min("label").over(Window.partitionBy("slice", "bin"))).select("label", "to")
+    return materialize(labels.join(one, "label").select("id", F.col("to").alias("label")), "bundled")
 
 
 def _coarsen(edges: DataFrame, nodes: DataFrame, limit: int, seed: int, rounds: int = 3) -> DataFrame:
@@ -107,19 +119,23 @@ def grow_and_move(near: list[dict[int, int]], weight: np.ndarray, k: int, cap: i
         if not seeds:
             break
         pull: dict[int, int] = {seeds[-1]: 0}
-        while pull and cap - room[s] < aim:
-            p = min(pull, key=lambda x: (-pull[x], x))
-            del pull[p]
-            if shard[p] >= 0 or weight[p] > room[s]:
+        heap = [(0, seeds[-1])]  # of pulls, outdated ones included
+        while heap and cap - room[s] < aim:
+            w, p = heapq.heappop(heap)
+            if pull.get(p) != -w:
                 continue
-            shard[p] = s
-            room[s] -= weight[p]
-            for q, w in near[p].items():
-                if shard[q] < 0:
-                    pull[q] = pull.get(q, 0) + w
+            del pull[p]
+            if shard[p] < 0 and weight[p] <= room[s]:
+                shard[p] = s
+                room[s] -= weight[p]
+                for q, w in near[p].items():
+                    if shard[q] < 0:
+                        pull[q] = pull.get(q, 0) + w
+                        heapq.heappush(heap, (-pull[q], q))
             if not pull and cap - room[s] < aim:
-                pull = {next((x for x in order if shard[x] < 0 and weight[x] <= room[s]), -1): 0}
-                pull.pop(-1, None)
+                more = next((x for x in order if shard[x] < 0 and weight[x] <= room[s]), None)
+                if more is not None:
+                    pull, heap = {more: 0}, [(0, more)]
     for p in sorted((x for x in range(n) if shard[x] < 0), key=lambda x: -weight[x]):
         gain = np.zeros(k)
         for q, w in near[p].items():
