@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.vectors import check_metric, normalise, positive_distance, squared_norm
 from ..sources.shared import materialize
 from . import kernels
+from .neighbours import as_matrix
 from .shards import hash_order, random_sample
 
 SEED = 555
@@ -42,7 +43,7 @@ def assign(points: DataFrame, at: np.ndarray, metric: str = "l2") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            v = np.array(b.column(1).to_pylist(), dtype=float).reshape(b.num_rows, -1)
+            v = as_matrix(b.column(1)) if b.num_rows else np.empty((0, 1))
             index, dist = kernels.nearest_center(v, sent.value, metric) if b.num_rows else (np.empty(0, np.int64), np.empty(0))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(index.astype(np.int32)), pa.array(dist)], names=["id", "shard", "dist"])
 
@@ -65,20 +66,31 @@ def _lloyd_round(points: DataFrame, at: np.ndarray, metric: str) -> np.ndarray:
         for b in batches:
             if not b.num_rows:
                 continue
-            v = np.array(b.column(0).to_pylist(), dtype=float)
+            v = as_matrix(b.column(0))
             index, _ = kernels.nearest_center(v, sent.value, metric)
             n2 = (v * v).sum(axis=1)
-            np.add.at(sums, index, v if metric == "l2" else v / np.sqrt(np.where(n2 > 0, n2, 1))[:, None])
+            _add(sums, index, v if metric == "l2" else v / np.sqrt(np.where(n2 > 0, n2, 1))[:, None])
             counts += np.bincount(index, minlength=k)
             squares += np.bincount(index, weights=n2, minlength=k)
         used = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(list(sums[used]), pa.list_(pa.float64())), pa.array(counts[used]), pa.array(squares[used])], names=["c", "s", "n", "q"])
+        yield _sums(used, sums[used], counts[used], squares[used])
 
-    def total(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"c": pdf["c"].iloc[:1], "s": [np.stack(pdf["s"].to_numpy()).sum(axis=0)], "n": [pdf["n"].sum()], "q": [pdf["q"].sum()]})
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        k, d = sent.value.shape
+        sums, counts, squares = np.zeros((k, d)), np.zeros(k), np.zeros(k)
+        for b in batches:
+            if b.num_rows:
+                c, n, q = (b.column(x).to_numpy(zero_copy_only=False) for x in (0, 2, 3))
+                _add(sums, c, as_matrix(b.column(1)))
+                np.add.at(counts, c, n)
+                np.add.at(squares, c, q)
+        used = np.flatnonzero(counts)
+        yield _sums(used, sums[used], counts[used], squares[used])
 
     schema = "c long, s array<double>, n double, q double"
-    rows = sorted(points.select(F.col("vec").cast("array<double>").alias("vec")).mapInArrow(partial, schema).groupBy("c").applyInPandas(total, schema).collect(), key=lambda r: r["c"])
+    parts = points.select(F.col("vec").cast("array<double>").alias("vec")).mapInArrow(partial, schema)
+    rows = sorted(parts.repartition("c").mapInArrow(total, schema).collect(), key=lambda r: r["c"])
+    sent.destroy()
     out = []
     for r in rows:
         s = np.array(r["s"])
@@ -86,6 +98,18 @@ def _lloyd_round(points: DataFrame, at: np.ndarray, metric: str) -> np.ndarray:
     return np.array(out)
 
 
+def _add(sums: np.ndarray, index: np.ndarray, v: np.ndarray) -> None:
+    """sums[index] += v, where an index may repeat."""
+    order = np.argsort(index, kind="stable")
+    c, first = np.unique(index[order], return_index=True)
+    if len(c):
+        sums[c] += np.add.reduceat(v[order], first, axis=0)
+
+
+def _sums(c: np.ndarray, s: np.ndarray, n: np.ndarray, q: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)), pa.array(list(s), pa.list_(pa.float64())), pa.array(n), pa.array(q)], names=["c", "s", "n", "q"])
+
+
 def kmeans(points: DataFrame, start: np.ndarray, metric: str = "l2", rounds: int = 20) -> tuple[DataFrame, np.ndarray]:
     """(assignment(id, shard, dist), centers) after exactly so many rounds. The assignment is one step behind the centers."""
     at = np.asarray(start, dtype=float)

@@ -48,13 +48,25 @@ def top_k(ids: np.ndarray, points: np.ndarray, query_ids: np.ndarray, queries: n
 
 
 def nearest_center(points: np.ndarray, centers: np.ndarray, metric: str, step: int = 1024) -> tuple[np.ndarray, np.ndarray]:
-    """Index and distance of each point's nearest center, ties to the lower index."""
+    """Index and distance of each point's nearest center, ties to the lower index.
+
+    As in top_k, the matrix product only narrows the choice.
+    """
     index, best = np.empty(len(points), np.int64), np.empty(len(points))
+    step = max(1, min(step, 4_000_000 // max(1, len(centers))))
     for at in range(0, len(points), step):
         p = points[at : at + step]
-        d = np.stack([distances(p, c, metric) for c in centers], axis=1)
-        index[at : at + step] = d.argmin(axis=1)
-        best[at : at + step] = d.min(axis=1)
+        rough = matrix(centers, p, metric)
+        scale = 1e-9 * (1.0 + float(np.abs(p).max(initial=0.0)) * float(np.abs(centers).max(initial=0.0)) * p.shape[1])
+        row, c = np.nonzero(rough <= rough.min(axis=1)[:, None] + scale)
+        if metric == "l2":
+            diff = p[row] - centers[c]
+            d = (diff * diff).sum(axis=1)
+        else:
+            d = 1.0 - (p[row] * centers[c]).sum(axis=1)
+        order = np.lexsort((c, d, row))
+        first = order[np.unique(row[order], return_index=True)[1]]
+        index[at : at + step], best[at : at + step] = c[first], d[first]
     return index, best
 
 
