@@ -282,9 +282,59 @@ def test_html_many_elements_without_end():
     assert html_extract.extract_page(page, html_extract.trained()) == "A\none two three"
 
 
-def test_html_tree_fits_its_table():
+def splits(tree, depth=0):
+    if isinstance(tree, int):
+        return [(depth, tree)]
+    f, threshold, left, right = tree
+    return [(depth, html_extract.FEATURES[f], threshold), *splits(left, depth + 1), *splits(right, depth + 1)]
+
+
+def test_html_tree_fits_its_pages():
     tree = html_extract.trained()
-    assert all(html_extract.classify(tree, r[:-1]) == bool(r[-1]) for r in html_extract.LABELLED)
+    rows, labels = html_extract.labelled()
+    assert all(html_extract.classify(tree, r) == bool(y) for r, y in zip(rows, labels, strict=True))
+    used = {x[1] for x in splits(tree) if len(x) == 3}
+    print(*("  " * x[0] + str(x[1:]) for x in splits(tree)), sep="\n")
+    assert {"density", "density_before", "words_after"} <= used  # counts and densities decide where no element does
+
+
+def test_html_tree_on_held_out_blocks():
+    """Pages without their article, nav and footer elements: only counts and densities are left. Blocks are labelled by those elements."""
+    import duckdb
+
+    tree, right, n = html_extract.trained(), 0, 0
+    for (page,) in duckdb.sql("SELECT html FROM '/root/testdata/sf0.01/pages.parquet'").fetchall():
+        truth = [b.main and not b.boiler for b in html_extract.blocks_of(page)]
+        bare = html_extract.blocks_of(re.sub(r"<(/?)(?:article|nav|footer)\b", r"<\1div", page).replace('class="ad"', ""))
+        got = [html_extract.classify(tree, f) for f in html_extract.features_of(bare)]
+        n, right = n + len(truth), right + sum(a == b for a, b in zip(truth, got, strict=True))
+    assert right / n > 0.9
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<article><header class='entry-header'><h1>Title here</h1></header><p>x y</p></article>", "Title here\nx y"), ("<main><div class='main-content right-sidebar'><p>abc def</p></div></main>", "abc def"),
+        ("<div class='site-content with-sidebar'><h1>T</h1><p>" + "w " * 30 + "</p><p>short</p><p>" + "v " * 30 + "</p></div>", "T\n" + ("w " * 30).strip() + "\nshort\n" + ("v " * 30).strip()),
+        ("<article><section class='related-work'><p>r w</p></section><section id='comments-policy'><p>c p</p></section><div class='search-results'>s r</div></article>", "r w\nc p\ns r"),
+        ("<article><p title=it's>abc</p><p>don't def</p></article>", "abc\ndon't def"), ("<article><p>a</p><!--><p>b</p><!-- x --><p>c</p><!---><p>d</article>", "a\nb\nc\nd"), ("<article><p>One</p><button>b<p>Two three</p></article>", "One\nTwo three"),
+        ("<article><p>a<script>x</script>b</p><a href=x><div>link text</div></a>tail</article>", "ab\nlink text\ntail"), ('<article><p title="x>open</p><p>more</p></article>', "open\nmore"), ("<article><p>One<svg><p>Two</article>", "One\nTwo"),
+    ],
+)
+def test_html_loses_no_text(page, want):
+    assert html_extract.extract_page(page, html_extract.trained()) == want
+
+
+def test_html_in_linear_time():
+    import time
+
+    tree, took = html_extract.trained(), {}
+    for tag in ("<div>", "</div>", "<div class='a>", '<a href="x ', "<!--", "<svg>", "<button>"):
+        for n in (20_000, 80_000):
+            began = time.perf_counter()
+            html_extract.extract_page(tag * n + "x", tree)
+            took[n] = time.perf_counter() - began
+        assert took[80_000] < 10 * took[20_000] + 0.5, tag
 
 
 def test_html_of_real_pages(spark):

@@ -1,7 +1,8 @@
 """Main text of web pages: flat text blocks, classified by a decision tree.
 
-A page is cut into flat text blocks at block-level tags. Each block is described by its word count and link density, those of
-its neighbours, and where it stands; a small decision tree, trained on the labelled table below, tells main text from the rest.
+A page is cut into flat text blocks at block-level tags. A small decision tree, grown from the labelled pages below, tells main text
+from the rest by the word count and link density of a block and of its neighbours; which elements a block stands in are features
+among these. Tags, attributes and comments are read as HTML reads them, in one pass and in linear time.
 """
 
 from __future__ import annotations
@@ -16,25 +17,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import rows_of
+# A tag up to its name, a comment (also <!--> and <!--->), or what HTML reads as a comment up to the next >.
+MARKUP = re.compile(r"<(?:!--(?:-?>|.*?(?:--!?>|\Z))|(/?)([a-zA-Z][^\s/>]*+)|[!?/][^>]*+(?:>|\Z))", re.DOTALL)
+ATTRIBUTE = re.compile(r"""[\s/]*+([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]*+)))?+""")
+TAG_END = re.compile(r"[\s/]*+>")
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.DOTALL)
-ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.IGNORECASE)
-
-# Names of tags.
+# Names of tags, and what attributes say of an element's part in the page.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title select datalist optgroup option svg math iframe object canvas head button".split())
-TEXT_ONLY = frozenset("script style textarea title iframe".split())
+TEXT_ONLY = frozenset("script style textarea title iframe xmp noembed noframes".split())
+SKIPPED = frozenset("noscript template select datalist svg math object canvas head button".split())
 BOILER = frozenset("nav footer aside form menu dialog".split())
+BOILER_ROLES = frozenset("navigation banner complementary contentinfo search dialog alert".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-MAIN = frozenset("article main".split())
 CLOSES_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table ul".split())
-BOILER_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|popup|modal|overlay|newsletter|subscribe|sidebar|side|widget|menu|nav|navbar|navigation|breadcrumbs?|header|masthead|footer|comments?|disqus|respond|share|social|related|recommended|pagination|login|signup|search|copyright)(?:$|[\s_-])",
-    re.IGNORECASE,
-)
-MAIN_NAMES = re.compile(r"(?:^|[\s_-])(?:article|articlebody|post-?content|entry-?content|story|main-?content|content-?main)(?:$|[\s_-])", re.IGNORECASE)
+# HTML has no element for adverts, notices and reader comments: a whole class or id of these names is a mark, parts of longer names aren't.
+MARKS = frozenset("ad ads advert advertisement sponsored cookie-notice cookie-banner notice comments comment sidebar".split())
 
 
 @dataclass
@@ -42,8 +40,9 @@ class Block:
     text: str
     words: int
     linked: int
-    main: bool
-    boiler: bool
+    main: bool  # within article or main
+    boiler: bool  # within navigation, footers, asides, forms, or what is hidden
+    marked: bool
     heading: bool
 
     @property
@@ -51,13 +50,27 @@ class Block:
         return self.linked / self.words if self.words else 0.0
 
 
+def attributes(page: str, at: int) -> tuple[dict[str, str], int]:
+    """The attributes of a tag whose name ends at a place, and where the tag ends. A quote that nothing closes is part of the value."""
+    found: dict[str, str] = {}
+    while not (m := TAG_END.match(page, at)):
+        m = ATTRIBUTE.match(page, at)
+        if not m or m.end() == at:
+            return found, len(page)  # the page ends within the tag
+        found.setdefault(m[1].lower(), next((x for x in m.groups()[1:] if x is not None), ""))
+        at = m.end()
+    return found, m.end()
+
+
 def blocks_of(page: str) -> list[Block]:
     """The page's text blocks in order; whatever stands in scripts, styles, titles and the like is no text."""
     out: list[Block] = []
     parts: list[str] = []
     linked: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # (tag, main, boiler) of open block-level elements
-    link, heading, at = 0, False, 0
+    stack: list[tuple[str, bool, bool, bool]] = []  # (tag, main, boiler, marked) of open block-level elements
+    opened: dict[str, int] = {}  # how many of a tag are on the stack
+    inside = [0, 0, 0]  # how many on the stack are main, boiler, marked
+    link, heading, at = -1, False, 0  # link: size of the stack where a link was opened
     ends: dict[str, dict[int, int | None]] = {}
 
     def flush() -> None:
@@ -65,69 +78,74 @@ def blocks_of(page: str) -> list[Block]:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
                 n = text.count(" ") + 1
-                out.append(Block(text, n, min(n, len(html.unescape("".join(linked)).split())), any(m for _, m, _ in stack), any(b for _, _, b in stack), heading))
+                out.append(Block(text, n, min(n, len(html.unescape("".join(linked)).split())), inside[0] > 0, inside[1] > 0, inside[2] > 0, heading))
             parts.clear()
             linked.clear()
 
     def say(piece: str) -> None:
         if piece:
             parts.append(piece)
-            if link:
+            if link >= 0:
                 linked.append(piece)
 
-    while m := TAG.search(page, at):
+    def pop() -> None:
+        nonlocal link
+        tag, *flags = stack.pop()
+        opened[tag] -= 1
+        for k, f in enumerate(flags):
+            inside[k] -= f
+        if link > len(stack):
+            link = -1
+
+    while m := MARKUP.search(page, at):
         say(page[at : m.start()])
         at = m.end()
-        tag = (m[2] or "").lower()
-        if not tag:
+        if not m[2]:
             continue
-        closing = bool(m[1])
-        if tag in RAW:
-            if not closing and not m[3].rstrip().endswith("/"):
-                if tag in TEXT_ONLY:
-                    end = re.compile(rf"</{tag}[^>]*(?:>|\Z)", re.IGNORECASE).search(page, at)
-                    at = end.end() if end else len(page)  # as in HTML: without an end tag, the rest is its text
-                elif tag == "option":
-                    at = _option_end(page, at)
-                elif tag != "optgroup":  # all its text is in options
-                    at = _matching(page, m.start(), at, tag, ends.setdefault(tag, {})) or at
-            if tag not in ("svg", "math", "button", "noscript", "template"):
-                flush()
+        tag, closing = m[2].lower(), bool(m[1])
+        given, at = attributes(page, at)
+        if tag in TEXT_ONLY:
+            if not closing:
+                end = re.compile(rf"</{tag}(?=[\s/>])[^>]*+(?:>|\Z)", re.IGNORECASE).search(page, at)
+                at = end.end() if end else len(page)  # as in HTML: without an end tag, the rest is its text
+            continue
+        if tag in SKIPPED:
+            if not closing and page[at - 2 : at] != "/>":
+                end = _matching(page, m.start(), at, tag, ends.setdefault(tag, {}))
+                at = end or (_label_end(page, at) if tag == "button" else at)
+            continue
+        if tag == "option":
+            at = at if closing else _label_end(page, at)
             continue
         if tag in INLINE:
             if tag == "a":
-                link = 0 if closing else 1
+                link = -1 if closing else len(stack)
             elif tag == "br":
                 say(" ")
             continue
         flush()
-        link = 0
         if tag in HEADINGS:
             heading = not closing
         elif not closing:
             heading = False
         if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
+            if opened.get(tag):
+                while stack[-1][0] != tag:
+                    pop()
+                pop()
         elif tag not in VOID:
             if stack and stack[-1][0] == "p" and tag in CLOSES_P:
-                stack.pop()
-            in_main = any(x for _, x, _ in stack)
-            main, boiler = tag in MAIN, tag in BOILER or (tag == "header" and not in_main)
-            if m[3] and not main:
-                for name, value in ATTRIBUTE.findall(m[3]):
-                    name, value = name.lower(), value.strip("\"'")
-                    if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
-                        boiler = True
-                    elif name == "role":
-                        boiler |= value in ("navigation", "banner", "complementary", "contentinfo", "search", "dialog", "alert")
-                        main |= value in ("main", "article")
-                    elif name in ("class", "id") and tag not in ("body", "html"):
-                        boiler |= bool(BOILER_NAMES.search(value))
-                        main |= bool(MAIN_NAMES.search(value))
-            stack.append((tag, main, boiler))
+                pop()
+            role = given.get("role", "").lower()
+            flags = (
+                tag in ("article", "main") or role in ("article", "main") or given.get("itemprop") == "articleBody",
+                tag in BOILER or role in BOILER_ROLES or (tag == "header" and not inside[0]) or "hidden" in given or given.get("aria-hidden") == "true" or bool(re.search(r"display\s*:\s*none", given.get("style", ""))),
+                tag not in ("body", "html") and not MARKS.isdisjoint(f"{given.get('class', '')} {given.get('id', '')}".lower().split()),
+            )
+            stack.append((tag, *flags))
+            opened[tag] = opened.get(tag, 0) + 1
+            for k, f in enumerate(flags):
+                inside[k] += f
     say(page[at:])
     flush()
     return out
@@ -138,7 +156,7 @@ def _matching(page: str, start: int, at: int, tag: str, known: dict[int, int | N
     if start in known:
         return known[start]
     opened = [start]
-    for m in re.compile(rf"<(/?){tag}(?=[\s/>])[^>]*(?:>|\Z)", re.IGNORECASE).finditer(page, at):
+    for m in re.compile(rf"<(/?){tag}(?=[\s/>])[^>]*+(?:>|\Z)", re.IGNORECASE).finditer(page, at):
         if m[1]:
             known[opened.pop()] = m.end()
             if not opened:
@@ -149,10 +167,10 @@ def _matching(page: str, start: int, at: int, tag: str, known: dict[int, int | N
     return None
 
 
-def _option_end(page: str, at: int) -> int:
-    """Where the text of an option ends: at the next tag but inline ones opened in it; at once if there is none."""
+def _label_end(page: str, at: int) -> int:
+    """Where the text of an option, or of a button without an end tag, ends: at the next tag but inline ones opened in it."""
     depth = 0
-    for m in TAG.finditer(page, at):
+    for m in MARKUP.finditer(page, at):
         tag = (m[2] or "").lower()
         if tag and (tag not in INLINE or m[1] and not depth):
             return m.start()
@@ -163,31 +181,55 @@ def _option_end(page: str, at: int) -> int:
 
 # ---- the tree --------------------------------------------------------------------------------------------------------
 
-FEATURES = ("words_before", "density_before", "words", "density", "words_after", "density_after", "main", "page_has_main", "boiler", "heading")
-
-# Blocks labelled by hand: the features above, then 1 for main text.
-LABELLED = (
-    # inside an article: paragraphs of any length, headings, lists
-    (0, 0.0, 8, 0.0, 40, 0.0, 1, 1, 0, 1, 1), (8, 0.0, 40, 0.0, 55, 0.0, 1, 1, 0, 0, 1), (40, 0.0, 1, 0.0, 30, 0.0, 1, 1, 0, 0, 1), (12, 0.0, 2, 0.0, 0, 0.0, 1, 1, 0, 0, 1),
-    (30, 0.0, 120, 0.05, 4, 0.25, 1, 1, 0, 0, 1), (5, 1.0, 25, 0.0, 10, 1.0, 1, 1, 0, 0, 1), (60, 0.0, 5, 1.0, 45, 0.0, 1, 1, 0, 0, 1), (1, 1.0, 1, 0.0, 6, 0.5, 1, 1, 0, 0, 1),
-    (3, 0.0, 300, 0.1, 7, 0.0, 1, 1, 0, 0, 1), (200, 0.0, 3, 0.0, 90, 0.0, 1, 1, 0, 1, 1), (10, 1.0, 2, 0.0, 18, 0.0, 1, 1, 0, 1, 1), (15, 0.0, 22, 0.4, 9, 0.0, 1, 1, 0, 0, 1),
-    # menus, adverts, notices, sidebars, footers, comments: within an article or not
-    (0, 0.0, 1, 1.0, 1, 1.0, 0, 1, 1, 0, 0), (1, 1.0, 2, 1.0, 7, 0.0, 0, 1, 1, 0, 0), (1, 1.0, 8, 0.0, 9, 0.0, 0, 1, 1, 0, 0), (80, 0.0, 12, 0.0, 0, 0.0, 0, 1, 1, 0, 0),
-    (60, 0.0, 40, 0.0, 30, 0.0, 1, 1, 1, 0, 0), (30, 0.0, 4, 0.0, 25, 0.0, 1, 1, 1, 1, 0), (9, 0.0, 70, 0.0, 90, 0.0, 0, 0, 1, 0, 0), (0, 0.0, 15, 0.2, 50, 0.0, 0, 0, 1, 0, 0),
-    (45, 0.0, 9, 0.3, 0, 0.0, 1, 1, 1, 0, 0), (4, 1.0, 3, 0.0, 2, 1.0, 0, 0, 1, 1, 0),
-    # pages with an article: what stands outside of it
-    (0, 0.0, 30, 0.0, 20, 0.0, 0, 1, 0, 0, 0), (90, 0.0, 60, 0.0, 8, 0.0, 0, 1, 0, 0, 0), (3, 1.0, 5, 0.0, 70, 0.0, 0, 1, 0, 1, 0), (25, 0.0, 2, 1.0, 0, 0.0, 0, 1, 0, 0, 0),
-    (10, 0.0, 150, 0.0, 12, 0.0, 0, 1, 0, 0, 0), (1, 1.0, 1, 1.0, 40, 0.0, 0, 1, 0, 0, 0),
-    (70, 0.0, 13, 0.0, 0, 0.0, 0, 1, 1, 0, 0), (46, 0.0, 20, 0.0, 0, 0.0, 0, 1, 1, 0, 0), (150, 0.0, 45, 0.1, 3, 0.0, 0, 1, 1, 0, 0), (58, 0.0, 16, 0.0, 30, 0.0, 0, 1, 0, 0, 0),
-    (45, 0.0, 80, 0.0, 60, 0.0, 0, 1, 0, 0, 0), (52, 0.0, 18, 0.0, 26, 0.0, 0, 1, 0, 0, 0), (300, 0.0, 24, 0.0, 5, 0.0, 0, 1, 0, 0, 0), (38, 0.0, 14, 0.05, 75, 0.0, 0, 1, 0, 1, 0),
-    (64, 0.0, 90, 0.0, 110, 0.0, 1, 1, 1, 0, 0), (0, 0.0, 55, 0.0, 70, 0.0, 0, 0, 1, 0, 0), (85, 0.0, 33, 0.1, 48, 0.0, 0, 0, 1, 0, 0), (44, 0.0, 28, 0.0, 65, 0.0, 0, 0, 1, 1, 0),
-    (57, 0.0, 17, 0.0, 20, 0.0, 0, 0, 1, 0, 0), (41, 0.0, 50, 0.05, 0, 0.0, 0, 0, 1, 0, 0), (35, 0.0, 11, 0.0, 29, 0.0, 0, 0, 1, 0, 0), (62, 0.0, 26, 0.0, 38, 0.0, 1, 1, 1, 0, 0),
-    # pages without one: long blocks with few links, and short ones between such
-    (0, 0.0, 60, 0.0, 45, 0.0, 0, 0, 0, 0, 1), (50, 0.0, 35, 0.1, 80, 0.0, 0, 0, 0, 0, 1), (4, 0.0, 22, 0.0, 31, 0.0, 0, 0, 0, 0, 1), (40, 0.0, 18, 0.05, 3, 1.0, 0, 0, 0, 0, 1),
-    (55, 0.0, 4, 0.0, 62, 0.0, 0, 0, 0, 0, 1), (1, 1.0, 6, 0.0, 48, 0.0, 0, 0, 0, 1, 1), (33, 0.0, 5, 0.0, 70, 0.0, 0, 0, 0, 1, 1), (24, 0.0, 12, 0.0, 28, 0.0, 0, 0, 0, 0, 1),
-    (0, 0.0, 2, 1.0, 2, 1.0, 0, 0, 0, 0, 0), (2, 1.0, 3, 1.0, 30, 0.0, 0, 0, 0, 0, 0), (40, 0.0, 6, 0.8, 2, 1.0, 0, 0, 0, 0, 0), (3, 1.0, 30, 0.9, 4, 1.0, 0, 0, 0, 0, 0),
-    (2, 1.0, 4, 0.0, 3, 1.0, 0, 0, 0, 0, 0), (1, 1.0, 3, 0.0, 1, 1.0, 0, 0, 0, 1, 0), (3, 1.0, 5, 0.0, 0, 0.0, 0, 0, 0, 0, 0), (60, 0.0, 25, 0.7, 40, 0.0, 0, 0, 0, 0, 0),
-)
+FEATURES = ("density", "words", "density_before", "words_before", "density_after", "words_after", "main", "page_has_main", "boiler", "marked", "heading")
+
+# Pages labelled by hand, one a line: blocks in page order as words:words in links:where, where being letters of m within article or main,
+# b within navigation, footers, asides, forms or what is hidden, k marked by name, h a heading; + for main text, - for the rest.
+LABELLED = """
+1:1:- 1:1:- 2:2:- 7:0:h+ 40:0:+ 3:0:+ 55:2:+ 18:0:+ 30:1:+ 4:4:- 5:5:- 6:6:- 9:2:-
+2:2:- 2:2:- 3:3:- 9:0:- 1:1:- 8:0:h+ 70:0:+ 5:0:h+ 90:4:+ 2:0:+ 44:0:+ 3:3:- 4:4:- 2:1:-
+5:5:- 60:0:+ 45:1:+ 80:0:+ 12:0:+ 28:0:+ 33:0:+ 6:6:- 5:5:-
+1:1:- 6:0:h+ 48:0:+ 30:3:+ 3:3:- 1:1:- 2:2:- 25:20:- 4:4:- 3:0:-
+2:2:- 1:1:- 4:0:- 3:3:- 2:2:- 5:0:- 2:2:- 26:18:- 1:1:-
+24:0:+ 12:0:+ 31:2:+ 9:0:+ 22:0:+ 35:0:+ 5:0:+ 62:0:+
+3:3:- 1:1:- 1:1:- 2:2:- 30:27:- 4:4:- 3:0:h- 1:1:- 1:1:- 9:9:-
+1:1:b- 1:1:b- 8:0:k- 8:0:mh+ 40:0:m+ 1:0:m+ 30:0:m+ 120:6:m+ 4:1:b-
+1:1:b- 2:2:b- 7:0:- 12:0:mh+ 2:0:m+ 25:0:m+ 10:10:m+ 60:0:m+ 5:5:m+ 45:0:m+ 13:0:b-
+2:2:b- 30:0:- 15:0:mh+ 300:30:m+ 7:0:m+ 60:0:mb- 40:0:mb- 90:0:m+ 20:0:- 2:1:-
+1:1:b- 5:0:h- 70:0:- 6:0:mh+ 25:0:m+ 2:2:m+ 1:1:m+ 1:1:m+ 9:0:m+ 46:0:b- 80:0:- 60:0:-
+3:3:b- 9:0:mh+ 38:0:m+ 14:1:m+ 2:0:mk- 85:0:mk- 33:3:mk- 48:0:m+ 2:2:- 150:0:- 12:0:-
+1:1:- 1:1:- 10:0:mh+ 44:0:m+ 28:0:m+ 65:0:m+ 17:0:b- 20:0:b- 41:0:mb- 50:2:b-
+9:0:b- 70:0:b- 90:0:+ 35:0:+ 22:0:+ 29:0:b- 62:0:b- 26:0:b-
+3:0:m+
+1:0:m+ 2:0:m+
+6:0:mh+ 2:0:m+ 1:0:m+ 3:0:m+ 1:0:m+
+200:0:m+ 3:0:m+ 130:0:m+ 2:0:m+
+1:1:b- 4:0:m+ 1:0:m+ 20:0:- 85:0:- 3:0:-
+45:0:- 2:0:m+ 60:0:- 100:5:- 140:0:-
+80:0:- 90:0:- 3:0:mh+ 5:0:m+ 70:0:- 100:0:- 120:0:- 66:0:-
+5:5:m+ 1:0:m+ 8:8:m+ 2:0:m+ 30:10:m+ 4:3:m+
+300:0:- 250:0:- 1:0:m+ 10:0:- 400:9:- 90:0:- 75:0:h-
+52:0:m+ 7:0:mh+ 6:0:m+ 3:0:m+ 15:0:m+ 64:0:- 5:0:- 70:0:-
+15:3:k- 50:0:+ 64:0:+ 11:0:+ 57:0:+ 90:0:k- 110:0:k- 28:0:k- 16:0:b-
+""".strip()
+
+
+def features_of(blocks: list[Block]) -> list[tuple]:
+    has_main, none = any(b.main for b in blocks), Block("", 0, 0, False, False, False, False)
+    out = []
+    for before, b, after in zip([none, *blocks], blocks, [*blocks[1:], none], strict=False):
+        out.append((b.density, b.words, before.density, before.words, after.density, after.words, b.main, has_main, b.boiler, b.marked, b.heading))
+    return out
+
+
+def labelled() -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of the blocks of LABELLED."""
+    rows, labels = [], []
+    for line in LABELLED.split("\n"):
+        page = [x.split(":") for x in line.split()]
+        rows += features_of([Block("", int(n), int(a), "m" in w, "b" in w, "k" in w, "h" in w) for n, a, w in page])
+        labels += [w.endswith("+") for *_, w in page]
+    return np.array(rows, float), np.array(labels, float)
 
 
 def grow(rows: np.ndarray, labels: np.ndarray, depth: int = 8):
@@ -211,8 +253,7 @@ def grow(rows: np.ndarray, labels: np.ndarray, depth: int = 8):
 
 def trained():
     """The tree of LABELLED."""
-    data = np.array(LABELLED, dtype=float)
-    return grow(data[:, :-1], data[:, -1])
+    return grow(*labelled())
 
 
 def classify(tree, features: tuple) -> bool:
@@ -224,14 +265,7 @@ def classify(tree, features: tuple) -> bool:
 
 def extract_page(page: str | None, tree) -> str:
     blocks = blocks_of(page) if page else []
-    has_main = any(b.main for b in blocks)
-    none = Block("", 0, 0, False, False, False)
-    kept = []
-    for k, b in enumerate(blocks):
-        before, after = blocks[k - 1] if k else none, blocks[k + 1] if k + 1 < len(blocks) else none
-        if classify(tree, (before.words, before.density, b.words, b.density, after.words, after.density, b.main, has_main, b.boiler, b.heading)):
-            kept.append(b.text)
-    return "\n".join(kept)
+    return "\n".join(b.text for b, f in zip(blocks, features_of(blocks), strict=True) if classify(tree, f))
 
 
 def _extract(tree):
@@ -251,10 +285,11 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """(page_id, url, text, n_chars) for each row of pages.
 
     Blocks keep page order and are joined by \\n; white space within a block is one space. A null, empty or text-free page has
-    the empty text. Broken markup is read as far as it goes: unclosed elements end with the page. Of skipped elements without an end tag
-    only the tag is skipped, but a script, style, textarea, title or iframe without one takes the rest of the page, as in HTML; an
-    option ends at the next tag that isn't inline. Rows that repeat an id, null ids and
-    null urls come back one by one. An empty table gives an empty result; other columns are ignored.
+    the empty text. Broken markup is read as far as it goes: unclosed elements end with the page or where an outer element ends. Of
+    skipped elements without an end tag (select, svg, object and the like) only the tag is skipped, of a button and an option the text up to
+    the next block. A script, style, textarea, title or iframe without an end tag takes the rest of the page, as in HTML, and so does a
+    comment. Very long pages and deep nesting take time in proportion to their length. Rows that repeat an id, null ids and null urls come
+    back one by one. An empty table gives an empty result; other columns are ignored, whatever their names.
     """
     three = pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), F.col(f"`{url_col}`").cast("string").alias("url"), F.col(f"`{html_col}`").alias("html"))
     return three.mapInArrow(_extract(trained()), "page_id long, url string, text string, n_chars long")
