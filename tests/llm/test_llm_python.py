@@ -471,8 +471,21 @@ def test_ann_hard(spark):
 
 def test_index_returns_the_whole_hamming_ball():
     rng = np.random.default_rng(8)
-    codes = rng.integers(0, 256, (500, 4), dtype=np.uint8)
+    codes = rng.integers(0, 2**64, (300, 8), dtype=np.uint64)
+    codes[100:200] = codes[7] ^ (np.uint64(1) << rng.integers(0, 64, (100, 8), dtype=np.uint64)) * rng.integers(0, 2, (100, 8), dtype=np.uint64)
     index = ann_search.Index(codes)
-    for radius in (0, 3, 7, 10, 32):
-        want = np.flatnonzero(np.bitwise_count(codes ^ codes[7]).sum(axis=1) <= radius)
-        assert index.within(codes[7], radius).tolist() == want.tolist()
+    for radius in (0, 3, 7, 10, 200, 256, 512):
+        q, rows = index.within(codes[[7, 150]], radius)
+        for k, own in enumerate((7, 150)):
+            want = np.flatnonzero(np.bitwise_count(codes ^ codes[own]).sum(axis=1) <= radius)
+            assert rows[q == k].tolist() == want.tolist()
+
+
+def test_ann_of_uneven_lengths(spark):
+    """Norms that differ by a factor of ten, and vectors of two lengths; all queries count."""
+    rng = np.random.default_rng(2)
+    v = {i: rng.normal(size=16) * rng.uniform(0.3, 3) for i in range(1500)} | {i: rng.normal(size=5) for i in range(1500, 1700)}
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in v.items()], "vec_id long, embedding array<double>")
+    got = {(r["query_id"], r["vec_id"]) for r in ann_search.nearest(df, k=10).collect()}
+    want = {(q, i) for part in ({i: x for i, x in v.items() if i < 1500}, {i: x for i, x in v.items() if i >= 1500}) for q, _, i in brute_nearest(part, 20, 10)}
+    assert len(got) == len(want) and len(got & want) / len(want) > 0.9
