@@ -8,15 +8,22 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One step: each node's chosen neighbours are hung on the smallest node of its neighbourhood.
+HUBS = 1000  # a node with more than this fraction of the edges is a hub; so there are at most twice as many hubs
+
+
+def _star(edges: DataFrame, large: bool, n: int) -> DataFrame:
+    """One step over n edges: each node's chosen neighbours are hung on the smallest node of its neighbourhood.
 
     A large star hangs the larger neighbours, a small star the smaller ones and the node itself. The minimum comes from a
-    partially combined aggregate, so that a node with very many neighbours isn't gathered in one task.
+    partially combined aggregate. Hubs, of which there are 2 * HUBS at most, go to all tasks; so no task has more of the edges of a node than a
+    HUBS-th of all.
     """
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
-    joined = both.join(least, both.u == least.w)
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("v").alias("k")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"), "k")
+    least, most = materialize(least, "cc-least"), n // HUBS + 10
+    hubs = F.broadcast(least.where(F.col("k") > most).select("w", "m"))
+    few = both.join(hubs, F.col("u") == F.col("w"), "left_anti").join(least.where(F.col("k") <= most).select("w", "m"), F.col("u") == F.col("w"))
+    joined = few.select("u", "v", "m").union(both.join(hubs, F.col("u") == F.col("w")).select("u", "v", "m"))
     if large:
         out = joined.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
@@ -24,10 +31,10 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where(F.col("u") != F.col("v")).distinct()
 
 
-def _settled(edges: DataFrame) -> bool:
-    """Whether the edges are stars: each node hangs on one node, which hangs on none."""
+def _settled(edges: DataFrame) -> tuple[bool, int]:
+    """Whether the edges are stars, each node hanging on one node, which hangs on none; and how many edges there are."""
     n, nodes = edges.agg(F.count("u"), F.count_distinct("u")).first()
-    return n == nodes and (n == 0 or edges.join(edges.select(F.col("v").alias("u")).distinct(), "u", "left_semi").isEmpty())
+    return n == nodes and (n == 0 or edges.join(edges.select(F.col("v").alias("u")).distinct(), "u", "left_semi").isEmpty()), n
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -38,9 +45,12 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     now = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     # first a small star: where nodes hang on several others, those are joined once instead of for each node
-    now = materialize(_star(materialize(now, "cc"), False), "cc")
+    now = materialize(now, "cc")
+    now = materialize(_star(now, False, now.count()), "cc")
     for _ in range(max_rounds):
-        if _settled(now):
+        done, n = _settled(now)
+        if done:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select("v", "v").distinct())
-        now = materialize(_star(_star(now, True), False), "cc")
+        wide = materialize(_star(now, True, 2 * n), "cc")
+        now = materialize(_star(wide, False, wide.count()), "cc")
     raise RuntimeError(f"components: not settled in {max_rounds} rounds")
