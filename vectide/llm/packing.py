@@ -5,7 +5,7 @@ first. Open bins are kept in order of their residual space. Each carries two bit
 that it holds. From the tightest bin that fits, the search goes on to the next larger residual until a bin is compatible:
 it holds no piece of the same duplicate cluster, and fewer than the allowed pieces of the source.
 
-Documents are dealt at random to shards of bounded size, each packed by itself; so a hot source or cluster is spread evenly.
+Documents are dealt by hash to shards of bounded size, each packed by itself; so a hot source or cluster is spread evenly.
 """
 
 from __future__ import annotations
@@ -95,7 +95,8 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     documents have bins of their own.
     Null and empty texts have one piece of 0 words. Null sources and clusters never conflict. Each row is packed by itself, also
     if rows repeat an id or the id is null. An empty table gives an empty result.
-    Shards hold shard_rows rows on average, however many rows there are, and rows are dealt by hash of id, source and text.
+    Shards hold shard_rows rows on average, however many rows there are and however alike they are: rows are dealt by hash of their place in
+    the table and of their id. So docs should be read from files; rows that come from a shuffle have no fixed place.
     """
     text = F.col(f"`{text_col}`")
     gap = F.regexp_replace(F.coalesce(text, F.lit("")), r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
@@ -104,7 +105,7 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     lean = docs.select(
         F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{source_col}`").cast("string").alias("source"), words.cast("long").alias("length"),
         (F.col(f"`{cluster}`").cast("string") if cluster else F.when(gap != "", F.md5(text))).alias("cluster"),
-        F.pmod(F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{source_col}`"), text), F.lit(n_shards)).alias("shard"),
+        F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.col(f"`{id_col}`")), F.lit(n_shards)).alias("shard"),
     )
     made = lean.groupBy("shard").applyInPandas(_shard(capacity, per_source), "id long, piece long, start long, n_words long, shard long, bin long, place long")
     return made.withColumnRenamed("id", id_col)
