@@ -204,9 +204,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Learn from all labelled rows whose crc32(id as text) mod 5 is not 0.
 
     At most scale_rows of them, in order of a hash of the id, fit the scale. Distinct grams, not rows or words, are what the driver holds.
+    Labels other than 0 and 1, null labels and null ids don't count; of several labels of an id the larger does. Null and empty texts have no
+    words; rows that repeat an id all count; very long texts count as a whole. Empty tables give a model that calls nothing toxic. Other
+    columns are ignored.
     """
     ids = F.col("doc_id")
-    own = labels.where(F.col("toxic").isNotNull() & ids.isNotNull() & (F.crc32(ids.cast("string").cast("binary")) % 5 != 0))
+    own = labels.where(F.col("toxic").isin(0, 1) & ids.isNotNull() & (F.crc32(ids.cast("string").cast("binary")) % 5 != 0))
     own = own.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     tune = own.where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(TUNE)) == 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(scale_rows)
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
