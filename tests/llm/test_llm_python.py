@@ -146,6 +146,12 @@ def test_packing_documents(spark):
     check_bins(spark, docs, packing.pack_documents(docs, capacity=500, per_source=2, shard_rows=60), 500, 2)
 
 
+def test_like_rows_are_dealt_evenly(spark):
+    docs = spark.range(20_000).selectExpr("cast(null as long) doc_id", "'' text", "'s' source")
+    sizes = [r["count"] for r in packing.pack_documents(docs, shard_rows=1000).groupBy("shard").count().collect()]
+    assert len(sizes) == 20 and max(sizes) < 1300
+
+
 def test_packing_hard(spark):
     docs, rows = table(spark, [None, "", " \n", "a b", "a b", "a b", "w " * 1000, "x", None])
     out = packing.pack_documents(docs, capacity=100, per_source=4)
@@ -241,8 +247,45 @@ def test_tokens_round_trip_and_parity(spark):
 
 
 def test_tokens_of_real_texts(spark):
-    out = sp_tokenizer.encode(spark.read.parquet(DATA), queries.SP_MODEL)
+    docs = spark.read.parquet(DATA)
+    out = sp_tokenizer.encode_and_decode(docs, queries.SP_MODEL).persist()
     assert out.where("not same or not round_trip").count() == 0 and out.count() == 200
+    spec = sp_tokenizer.parse(open(queries.SP_MODEL, "rb").read())
+    texts = {r["doc_id"]: sp_tokenizer.normalised(r["text"], spec) for r in docs.collect()}
+    for r in out.collect():
+        assert (r["n_decoded"], r["decoded_md5"]) == (len(texts[r["doc_id"]]), hashlib.md5(texts[r["doc_id"]].encode()).hexdigest())
+
+
+def test_a_wrong_rebuild_shows():
+    """Ids are the rebuilt model's own; where the reference differs, same says so."""
+
+    class Other:
+        def encode(self, texts, num_threads=1):
+            return [[0] for _ in texts]
+
+    spec = sp_tokenizer.parse(open(queries.SP_MODEL, "rb").read())
+    for encoder in (sp_tokenizer.WordEncoder, sp_tokenizer.TextEncoder):
+        ids, _, same = encoder(spec, Other(), 1).encode(["two words"])
+        assert ids[0].tolist() == sp_tokenizer.build(spec).encode("two words").ids and same == [False]
+
+
+def test_unigram_parity_on_real_texts(spark):
+    """A unigram model over the pieces of the BPE model, encoded by both libraries."""
+    import sentencepiece
+
+    spec = sp_tokenizer.parse(open(queries.SP_MODEL, "rb").read())
+    spec.kind = sp_tokenizer.UNIGRAM
+    model = unigram_model([(t, -float(np.sqrt(k + 2) / 20) if kind == sp_tokenizer.NORMAL else 0.0, kind) for k, (t, _, kind) in enumerate(spec.pieces)], spec.byte_fallback, spec.squeeze)
+    own, reference = sp_tokenizer.parse(model), sentencepiece.SentencePieceProcessor(model_proto=model)
+    assert own.kind == sp_tokenizer.UNIGRAM
+    texts = [r["text"][:20_000] for r in spark.read.parquet(DATA).limit(60).collect() if r["text"]]
+    tokenizer = sp_tokenizer.build(own)
+    total, differ = lambda ids: sum(own.pieces[i][1] for i in ids), 0
+    for t in texts:
+        a, b = tokenizer.encode(t, add_special_tokens=False).ids, reference.encode(t)
+        assert total(a) == pytest.approx(total(b), abs=1e-3)  # "$ $$" and "$$ $" are equally likely
+        differ += a != b
+    assert differ <= 1
 
 
 def test_text_encoder_agrees_with_word_encoder():
@@ -252,7 +295,9 @@ def test_text_encoder_agrees_with_word_encoder():
     assert [x.tolist() for x in plain[0]] == [x.tolist() for x in by_word[0]] and plain[1:] == by_word[1:]
 
 
-def unigram_model():
+def unigram_model(pieces=None, byte_fallback=False, squeeze=False):
+    import struct
+
     def varint(n):
         out = b""
         while n > 127:
@@ -262,11 +307,10 @@ def unigram_model():
     def message(number, body):
         return varint(number << 3 | 2) + varint(len(body)) + body
 
-    import struct
-
-    pieces = [("<unk>", 0.0, 2), ("▁", -2.0, 1), ("a", -3.0, 1), ("b", -3.0, 1), ("▁ab", -3.5, 1), ("ab", -4.0, 1), ("▁a", -4.0, 1)]
+    pieces = pieces or [("<unk>", 0.0, 2), ("▁", -2.0, 1), ("a", -3.0, 1), ("b", -3.0, 1), ("▁ab", -3.5, 1), ("ab", -4.0, 1), ("▁a", -4.0, 1)]
     body = b"".join(message(1, message(1, t.encode()) + b"\x15" + struct.pack("<f", s) + b"\x18" + varint(k)) for t, s, k in pieces)
-    return body + message(2, b"\x18\x01") + message(3, b"\x18\x01\x20\x00")
+    trainer = b"\x18\x01" + (varint(35 << 3) + b"\x01" if byte_fallback else b"")
+    return body + message(2, trainer) + message(3, b"\x18\x01" + (b"\x20\x01" if squeeze else b"\x20\x00"))
 
 
 def test_unigram_models_are_rebuilt():
@@ -388,6 +432,7 @@ def test_toxicity_held_out(spark):
     toxic, rest = [r["score"] for r in held if r["toxic"]], [r["score"] for r in held if not r["toxic"]]
     assert np.mean([a > b for a in toxic for b in rest]) > 0.9
     assert sum(r["toxic"] for r in held if r["predicted"]) > 0.85 * sum(r["predicted"] for r in held)
+    assert sum(r["predicted"] for r in held if r["toxic"]) > 0.7 * len(toxic)  # a fifth of these labels stand on texts without any toxic word
     assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in out.collect())
     other = labels.withColumn("toxic", F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, 1 - F.col("toxic")).otherwise(F.col("toxic")))
     again = toxicity.score(docs, toxicity.fit(docs, other))
@@ -403,12 +448,50 @@ def test_toxicity_hard(spark):
     assert toxicity.score(docs.where("false"), toxicity.Model()).count() == 0
 
 
-def test_kneser_ney_sums_to_one():
-    counts = {"ab": (3, 1), "ac": (1, 2), "abc": (2, 0), "b": (0, 1)}
-    model = toxicity.fit_models(counts)
-    assert all(np.isfinite(x) for x in [*model.gram.values(), *model.context.values()])
-    shared = toxicity._shared_backoff({g for w in counts for g in toxicity.grams(w)})
-    assert sum(shared("^" * 4 + c) for c in "abc$") == pytest.approx(1, abs=0.25) and shared("zzzzz") > 0
+def brute_kneser_ney(counts, order=toxicity.ORDER, discount=toxicity.DISCOUNT):
+    """Class probabilities of a gram's last character, by recursion straight from the definition."""
+    texts = [[("^" * (order - 1) + w + "$", by[c]) for w, by in counts.items()] for c in (0, 1)]
+    seen = {p[k : k + order] for c in (0, 1) for p, n in texts[c] if n for k in range(len(p) - order + 1)}
+    levels = {order: seen}
+    for m in range(order - 1, 0, -1):
+        levels[m] = {g[1:] for g in levels[m + 1]}
+
+    def shared(g):
+        if not g:
+            return 1 / (len(levels[1]) + 1)
+        follow = {h: sum(x[1:] == h for x in levels[len(g) + 1]) for h in levels[len(g)] if h[:-1] == g[:-1]}
+        n = sum(follow.values())
+        return max(follow.get(g, 0) - discount, 0) / n + discount * len(follow) / n * shared(g[1:]) if n else shared(g[1:])
+
+    def of(c, g):
+        own = defaultdict(int)
+        for p, n in texts[c]:
+            for k in range(len(p) - order + 1):
+                if n and p[k : k + order - 1] == g[:-1]:
+                    own[p[k : k + order]] += n
+        n = sum(own.values())
+        return max(own.get(g, 0) - discount, 0) / n + discount * len(own) / n * shared(g[1:]) if n else shared(g[1:])
+
+    return seen, of
+
+
+def test_kneser_ney_as_brute_force():
+    counts = {"ab": (3, 1), "ac": (1, 2), "abc": (2, 0), "b": (0, 1), "bcab": (0, 4), "cab": (5, 0)}
+    model, (seen, of) = toxicity.fit_models(counts), brute_kneser_ney(counts)
+    assert model.gram.keys() == seen
+    for g in seen:
+        assert model.gram[g] == pytest.approx(np.log(of(1, g)) - np.log(of(0, g)), abs=1e-9)
+    letters = {g[-1] for g in seen}
+    for context in {g[:-1] for g in seen}:  # what is left is the share of a character never seen
+        for c in (0, 1):
+            assert sum(of(c, context + x) for x in [*letters, "?"]) == pytest.approx(1, abs=1e-9)
+
+
+def test_toxicity_of_odd_labels(spark):
+    docs = spark.createDataFrame([(k, "plain words here" if k % 3 else "such an idiot") for k in range(60)], "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "cast(case when doc_id = 7 then 5 when doc_id = 8 then -1 when doc_id % 3 = 0 then 1 else 0 end as int) as toxic")
+    kept = labels.where("toxic in (0, 1)")
+    assert toxicity.fit(docs, labels).gram == toxicity.fit(docs, kept).gram
 
 
 def test_toxicity_counts_every_labelled_row(spark):

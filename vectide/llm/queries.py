@@ -40,7 +40,8 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str = SP_MODEL) -> DataFrame:
-    return sp_tokenizer.encode(table(spark, sf_dir, "documents"), model_path)
+    """Ids, and the decoded text's length and hash."""
+    return sp_tokenizer.encode_and_decode(table(spark, sf_dir, "documents"), model_path)
 
 
 def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ import os
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from hashlib import md5
 from pathlib import Path
 from struct import unpack_from
 
@@ -18,7 +19,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from tokenizers import Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
+from pyspark.sql.types import LongType, StringType, StructField, StructType
+from tokenizers import AddedToken, Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
 
 MARK = "▁"
 # Fixed values of the format: kinds of pieces and of models.
@@ -119,6 +121,7 @@ def build(spec: Spec) -> Tokenizer:
     else:
         raise ValueError(f"model type {spec.kind} isn't supported")
     tokenizer = Tokenizer(model)
+    tokenizer.add_tokens([AddedToken(text, normalized=True) for text, _, kind in spec.pieces if kind == USER])  # matched first
     steps = [normalizers.Precompiled(spec.charsmap)] if spec.charsmap else []
     if spec.squeeze:
         steps += [normalizers.Replace(Regex(" +"), " "), normalizers.Strip()]
@@ -154,13 +157,13 @@ class WordEncoder:
     """Encodes texts word by word, as no piece crosses a marker; words that are new in a batch go to the library together.
 
     Each new word's ids are compared with those of the reference, if there is one, and with its spelling, once. odd holds the words
-    that the reference encodes otherwise (then its ids count), misspelt those that aren't spelt by their ids.
+    that the reference encodes otherwise, misspelt those that aren't spelt by their ids.
     """
 
     def __init__(self, spec: Spec, reference, threads: int):
         self.spec, self.reference, self.threads, self.tokenizer, self.spelling = spec, reference, threads, build(spec), _Spelling(spec)
         self.cut = re.compile(f"{MARK}+[^{MARK}]*").findall
-        one = reference.encode if reference else lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids
+        one = lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids
         self.blank = {MARK: np.array(one("a ")[len(one("a")) :], np.int32).tobytes()}  # no text is just this word
         self.known: dict[str, bytes] = dict(self.blank)
         self.odd: set[str] = set()
@@ -168,7 +171,7 @@ class WordEncoder:
 
     @staticmethod
     def fits(spec: Spec) -> bool:
-        return can_cut(spec) and spec.dummy_prefix and not spec.charsmap
+        return can_cut(spec) and spec.dummy_prefix and not spec.charsmap and all(kind != USER for _, _, kind in spec.pieces)
 
     def learn(self, new: list[str]) -> None:
         """The words are laid end to end in one text for each thread; each token knows the word that it is of."""
@@ -187,7 +190,6 @@ class WordEncoder:
             for w, ids in zip(list(found), self.reference.encode(texts, num_threads=self.threads), strict=True):
                 if ids != found[w]:
                     self.odd.add(w)
-                    found[w] = ids
         self.misspelt.update(w for w, text in zip(found, texts, strict=True) if not self.spelling.right(found[w], text))
         self.known.update((w, np.array(ids, np.int32).tobytes()) for w, ids in found.items())
 
@@ -215,7 +217,7 @@ class TextEncoder:
         same: list[bool | None] = [None] * len(ids)
         if self.reference is not None:
             right = self.reference.encode(texts, num_threads=self.threads)
-            ids, same = right, [a == b for a, b in zip(ids, right, strict=True)]
+            same = [a == b for a, b in zip(ids, right, strict=True)]
         trip = [self.spelling.right(x, normalised(t, self.spec)) for x, t in zip(ids, texts, strict=True)]
         return [np.array(x, np.int32) for x in ids], trip, same
 
@@ -241,8 +243,8 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
 
     round_trip: the pieces of ids spell the normalised text (null if the model has a character map); false for a text that itself
     holds the marker, which comes back as a space. same: the sentencepiece library
-    gives the same ids for every word of the text, or for the whole text if words can't be told apart (null with parity off); where
-    it doesn't, its ids are taken.
+    gives the same ids for every word of the text, or for the whole text if words can't be told apart (null with parity off); ids are
+    always those of the model rebuilt here.
     A null text has null ids and 0 tokens, an empty one has no ids. Rows that repeat an id and null ids come back one by one. An
     empty table gives an empty result. The model file is read by the driver and sent to executors.
     """
@@ -273,7 +275,10 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
 
 
 def decode(encoded: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: str = "ids", batch: int = 256) -> DataFrame:
-    """(id, text) for each row of encoded; null ids give a null text, empty ids the empty text."""
+    """(id, text) for each row of encoded; null ids give a null text, empty ids the empty text.
+
+    Rows that repeat an id and null ids come back one by one; an empty table gives an empty result; very long lists are decoded as a whole.
+    """
     sent = encoded.sparkSession.sparkContext.broadcast(Path(model_path).read_bytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,3 +292,23 @@ def decode(encoded: DataFrame, model_path: str, id_col: str = "doc_id", ids_col:
 
     two = encoded.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{ids_col}`").alias("ids"))
     return two.mapInArrow(run, "id long, text string").withColumnRenamed("id", id_col)
+
+
+def encode_and_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", batch: int = 256) -> DataFrame:
+    """encode() with n_decoded and decoded_md5: the code points and the MD5 (of UTF-8) of the text that the ids decode to; null for null texts."""
+    encoded = encode(docs, model_path, id_col, text_col)
+    sent = docs.sparkSession.sparkContext.broadcast(Path(model_path).read_bytes())
+    schema = encoded.schema
+    names = [f.name for f in schema]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokenizer = build(parse(sent.value))
+        for rows in batches:
+            for at in range(0, rows.num_rows, batch):
+                part = rows.slice(at, batch)
+                ids = part.column(1).to_pylist()
+                texts = [None if x is None else t for x, t in zip(ids, tokenizer.decode_batch([x or [] for x in ids], skip_special_tokens=False), strict=True)]
+                more = [pa.array([None if t is None else len(t) for t in texts], pa.int64()), pa.array([None if t is None else md5(t.encode()).hexdigest() for t in texts], pa.string())]
+                yield pa.RecordBatch.from_arrays([*part.columns, *more], names=[*names, "n_decoded", "decoded_md5"])
+
+    return encoded.mapInArrow(run, StructType([*schema.fields, StructField("n_decoded", LongType()), StructField("decoded_md5", StringType())]))
