@@ -21,6 +21,7 @@ from math import ceil
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -121,6 +122,23 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
+def _lengths(every: int):
+    """Of each batch and length of vectors: rows, queries, and the largest norm (squares may be beyond doubles)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, sizes = b.column(0).to_numpy(zero_copy_only=False), pc.list_value_length(b.column(1)).to_numpy(zero_copy_only=False)
+            rows = []
+            for d in np.unique(sizes):
+                own = np.flatnonzero(sizes == d)
+                v = _matrix(b.column(1).take(pa.array(own)))
+                most = np.abs(v).max(axis=1)
+                rows.append((int(d), len(own), int((ids[own] % every == 0).sum()), float((most * np.sqrt(((v / most[:, None]) ** 2).sum(axis=1))).max())))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.int64(), pa.int64(), pa.float64()))], names=["d", "n", "q", "longest"])
+
+    return run
+
+
 def fit_radius(rows: DataFrame, asked: list, codes: Codes, k: int, recall: float) -> int:
     """The radius that holds that share of the k nearest of the asked rows among all rows; each partition sends k rows for each."""
     sent = rows.sparkSession.sparkContext.broadcast((np.array([r["id"] for r in asked]), np.array([r["v"] for r in asked], float)))
@@ -156,10 +174,8 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     spark = vectors.sparkSession
     good = usable(vectors, id_col, vector_col)
     out = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    # one row for each length of vectors; their squares may be beyond doubles
-    largest = F.array_max(F.transform("v", F.abs))
-    norm = largest * F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + (x / largest) * (x / largest)))
-    for r in good.groupBy(F.size("v").alias("d")).agg(F.count("id").alias("n"), F.sum((F.col("id") % every == 0).cast("long")).alias("q"), F.max(norm).alias("longest")).orderBy("d").collect():
+    counted = good.mapInArrow(_lengths(every), "d int, n long, q long, longest double").groupBy("d").agg(F.sum("n").alias("n"), F.sum("q").alias("q"), F.max("longest").alias("longest"))
+    for r in counted.orderBy("d").collect():  # one row for each length of vectors
         if r["q"]:
             out = out.union(_of_length(good.where(F.size("v") == r["d"]), r["n"], r["q"], r["longest"], every, k, bits, recall))
     return out
