@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann_search, html_extract, license_scan, line_dedup, ngram_join, packing, quality_rules, secret_scan, sp_tokenizer, toxicity
-from .common import table
+from .common import spread, table
 
 SP_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -16,7 +16,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.judge(table(spark, sf_dir, "documents"))
+    return quality_rules.judge(spread(table(spark, sf_dir, "documents")))
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,11 +28,11 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan.scan(table(spark, sf_dir, "documents"))
+    return license_scan.scan(spread(table(spark, sf_dir, "documents")))
 
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.ngram_components(table(spark, sf_dir, "documents"), n=4, percent=85)
+    return ngram_join.ngram_components(spread(table(spark, sf_dir, "documents")), n=4, percent=85)
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,8 +40,7 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str = SP_MODEL) -> DataFrame:
-    """Ids, and the decoded text's length and hash."""
-    return sp_tokenizer.encode_and_decode(table(spark, sf_dir, "documents"), model_path)
+    return sp_tokenizer.encode(spread(table(spark, sf_dir, "documents")), model_path)
 
 
 def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +48,7 @@ def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 

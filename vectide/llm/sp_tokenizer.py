@@ -19,7 +19,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
 from tokenizers import AddedToken, Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
 
 MARK = "▁"
@@ -139,7 +138,7 @@ def normalised(text: str, spec: Spec) -> str:
     return re.sub(" +", " ", text).strip(" ") if spec.squeeze else text
 
 
-Encoded = tuple[list[np.ndarray], list[bool | None], list[bool | None]]
+Encoded = tuple[list[np.ndarray], list[bool | None], list[bool | None], list[str]]  # ids, round trip, parity, decoded text
 
 
 class _Spelling:
@@ -157,7 +156,7 @@ class WordEncoder:
     """Encodes texts word by word, as no piece crosses a marker; words that are new in a batch go to the library together.
 
     Each new word's ids are compared with those of the reference, if there is one, and with its spelling, once. odd holds the words
-    that the reference encodes otherwise, misspelt those that aren't spelt by their ids.
+    that the reference encodes otherwise, misspelt those that aren't spelt by their ids, changed those that decode to another text.
     """
 
     def __init__(self, spec: Spec, reference, threads: int):
@@ -168,6 +167,7 @@ class WordEncoder:
         self.known: dict[str, bytes] = dict(self.blank)
         self.odd: set[str] = set()
         self.misspelt: set[str] = set()
+        self.changed: dict[str, str] = {}
 
     @staticmethod
     def fits(spec: Spec) -> bool:
@@ -191,8 +191,17 @@ class WordEncoder:
                 if ids != found[w]:
                     self.odd.add(w)
         self.misspelt.update(w for w, text in zip(found, texts, strict=True) if not self.spelling.right(found[w], text))
+        for w, text, back in zip(found, texts, self.tokenizer.decode_batch(list(found.values()), skip_special_tokens=False), strict=True):
+            if back != text:
+                self.changed[w] = back
         self.known.update((w, np.array(ids, np.int32).tobytes()) for w, ids in found.items())
 
+    def decoded(self, words: list[str], text: str) -> str:
+        """Each word is decoded once, when it is new; a text whose words all come back comes back itself, markers as spaces."""
+        if not self.changed or self.changed.keys().isdisjoint(words):
+            return text.replace(MARK, " ")
+        return "".join(" " + self.changed.get(w, w.replace(MARK, " ")[1:]) for w in words)[1:]
+
     def encode(self, texts: list[str]) -> Encoded:
         plain = [normalised(t, self.spec) for t in texts]
         cut = [self.cut(MARK + t.replace(" ", MARK)) if t else [] for t in plain]
@@ -203,7 +212,7 @@ class WordEncoder:
         none = lambda bad, words: not bad or bad.isdisjoint(words)
         same = [None if self.reference is None else none(self.odd, words) for words in cut]
         trip = [none(self.misspelt, words) and MARK not in t for words, t in zip(cut, plain, strict=True)]
-        return [np.frombuffer(b"".join(map(self.known.__getitem__, words)), np.int32) for words in cut], trip, same
+        return [np.frombuffer(b"".join(map(self.known.__getitem__, words)), np.int32) for words in cut], trip, same, [self.decoded(words, t) for words, t in zip(cut, plain, strict=True)]
 
 
 class TextEncoder:
@@ -219,7 +228,7 @@ class TextEncoder:
             right = self.reference.encode(texts, num_threads=self.threads)
             same = [a == b for a, b in zip(ids, right, strict=True)]
         trip = [self.spelling.right(x, normalised(t, self.spec)) for x, t in zip(ids, texts, strict=True)]
-        return [np.array(x, np.int32) for x in ids], trip, same
+        return [np.array(x, np.int32) for x in ids], trip, same, self.tokenizer.decode_batch(ids, skip_special_tokens=False)
 
 
 _ENCODERS: dict[tuple, WordEncoder | TextEncoder] = {}  # of this worker; the words of one task serve the next
@@ -239,7 +248,9 @@ def _encoder(model: bytes, parity: bool, threads: int) -> WordEncoder | TextEnco
 
 
 def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", parity: bool = True, threads: int = 2, batch: int = 256) -> DataFrame:
-    """(id, ids, n_tokens, round_trip, same) for each row of docs.
+    """(id, ids, n_tokens, round_trip, same, n_decoded, decoded_md5) for each row of docs.
+
+    n_decoded and decoded_md5: code points and MD5 (of UTF-8) of the text that the ids decode to; null for a null text.
 
     round_trip: the pieces of ids spell the normalised text (null if the model has a character map); false for a text that itself
     holds the marker, which comes back as a space. same: the sentencepiece library
@@ -249,7 +260,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     empty table gives an empty result. The model file is read by the driver and sent to executors.
     """
     sent = docs.sparkSession.sparkContext.broadcast(Path(model_path).read_bytes())
-    schema = pa.schema([("id", pa.int64()), ("ids", pa.list_(pa.int32())), ("n_tokens", pa.int64()), ("round_trip", pa.bool_()), ("same", pa.bool_())])
+    schema = pa.schema([("id", pa.int64()), ("ids", pa.list_(pa.int32())), ("n_tokens", pa.int64()), ("round_trip", pa.bool_()), ("same", pa.bool_()), ("n_decoded", pa.int64()), ("decoded_md5", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "true"
@@ -262,16 +273,17 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
                     part = rows.slice(at, batch)
                     texts = part.column(1).to_pylist()
                     none = [t is None for t in texts]
-                    ids, trip, same = encoder.encode([t or "" for t in texts])
+                    ids, trip, same, back = encoder.encode([t or "" for t in texts])
                     ends = np.cumsum([0, *map(len, ids)])
                     lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.empty(0, np.int32), *ids])), mask=pa.array(none))
-                    trip, same = ([None if n else x for n, x in zip(none, c, strict=True)] for c in (trip, same))
-                    yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(np.diff(ends), pa.int64()), pa.array(trip, pa.bool_()), pa.array(same, pa.bool_())], schema=schema)
+                    sizes, digests = [len(t) for t in back], [md5(t.encode()).hexdigest() for t in back]
+                    trip, same, sizes, digests = ([None if n else x for n, x in zip(none, c, strict=True)] for c in (trip, same, sizes, digests))
+                    yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(np.diff(ends), pa.int64()), pa.array(trip, pa.bool_()), pa.array(same, pa.bool_()), pa.array(sizes, pa.int64()), pa.array(digests, pa.string())], schema=schema)
         finally:
             gc.enable()
 
     two = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    return two.mapInArrow(run, "id long, ids array<int>, n_tokens long, round_trip boolean, same boolean").withColumnRenamed("id", id_col)
+    return two.mapInArrow(run, "id long, ids array<int>, n_tokens long, round_trip boolean, same boolean, n_decoded long, decoded_md5 string").withColumnRenamed("id", id_col)
 
 
 def decode(encoded: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: str = "ids", batch: int = 256) -> DataFrame:
@@ -292,23 +304,3 @@ def decode(encoded: DataFrame, model_path: str, id_col: str = "doc_id", ids_col:
 
     two = encoded.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{ids_col}`").alias("ids"))
     return two.mapInArrow(run, "id long, text string").withColumnRenamed("id", id_col)
-
-
-def encode_and_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", batch: int = 256) -> DataFrame:
-    """encode() with n_decoded and decoded_md5: the code points and the MD5 (of UTF-8) of the text that the ids decode to; null for null texts."""
-    encoded = encode(docs, model_path, id_col, text_col)
-    sent = docs.sparkSession.sparkContext.broadcast(Path(model_path).read_bytes())
-    schema = encoded.schema
-    names = [f.name for f in schema]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = build(parse(sent.value))
-        for rows in batches:
-            for at in range(0, rows.num_rows, batch):
-                part = rows.slice(at, batch)
-                ids = part.column(1).to_pylist()
-                texts = [None if x is None else t for x, t in zip(ids, tokenizer.decode_batch([x or [] for x in ids], skip_special_tokens=False), strict=True)]
-                more = [pa.array([None if t is None else len(t) for t in texts], pa.int64()), pa.array([None if t is None else md5(t.encode()).hexdigest() for t in texts], pa.string())]
-                yield pa.RecordBatch.from_arrays([*part.columns, *more], names=[*names, "n_decoded", "decoded_md5"])
-
-    return encoded.mapInArrow(run, StructType([*schema.fields, StructField("n_decoded", LongType()), StructField("decoded_md5", StringType())]))
