@@ -85,10 +85,11 @@ def leaf_pyramid(points: DataFrame, k: int, metric: str = "l2", ratio: float = 0
     return leaves.join(of.select(F.col("id").cast("int").alias("leaf"), "shard"), "leaf").select("id", "shard")
 
 
-def rebalanced_kmeans(points: DataFrame, k: int, metric: str = "l2") -> DataFrame:
+def rebalanced_kmeans(points: DataFrame, k: int, metric: str = "l2", cap: int | None = None) -> DataFrame:
+    """k-means into k clusters; what is over the cap, by default that of k shards, is evicted. A cap too small for the clusters left grows to fit."""
     assigned, at = centroids.kmeans(points, centroids.sample_vectors(points, k), metric)
-    assigned = materialize(assigned.select("id", "shard"), "assigned")
-    return centroids.evict_overloaded(points, assigned, at, max(capacity(points.count(), k), ceil(points.count() / len(at))), metric)
+    assigned, n = materialize(assigned.select("id", "shard"), "assigned"), points.count()
+    return centroids.evict_overloaded(points, assigned, at, max(cap or capacity(n, k), ceil(n / len(at))), metric)
 
 
 def _spann(points: DataFrame, base: DataFrame, k: int, overlap: float, metric: str) -> DataFrame:
@@ -113,7 +114,7 @@ METHODS: dict[str, Callable[[DataFrame, int, float, str], DataFrame]] = {
     "BalancedKMeans": lambda p, k, o, m: centroids.balanced_kmeans(p, k, capacity(p.count(), k), m),
     "FlatKMeans": lambda p, k, o, m: centroids.flat_kmeans(p, k, m),
     "RKM": lambda p, k, o, m: rebalanced_kmeans(p, k, m),
-    "ORKM": lambda p, k, o, m: _spann(p, rebalanced_kmeans(p, ceil(k * (1 + o)), m), k, o, m),
+    "ORKM": lambda p, k, o, m: _spann(p, rebalanced_kmeans(p, ceil(k * (1 + o)), m, capacity(p.count(), k)), k, o, m),  # more shards, each with the room of one of k
     "OGP": lambda p, k, o, m: overlapping_graph_partition(neighbour_graph(p, metric=m), p, k, EPSILON, o),
     "OGPS": lambda p, k, o, m: _spann(p, graph_partition(p, _grown(p, k, o), m), k, o, m),
     "OKM": lambda p, k, o, m: _spann(p, centroids.recursive_kmeans(p, k, capacity(p.count(), k), m), k, o, m),

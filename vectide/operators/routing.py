@@ -82,7 +82,7 @@ def single_center(centers: DataFrame, queries: DataFrame, metric: str = "l2") ->
     return near.select(F.col("id").alias("query_id"), F.col("leader").cast("int").alias("shard"), F.col("dist").alias("min_dist"))
 
 
-def router_configs(n_points: int, budgets: tuple[int, ...] = (20_000, 50_000, 100_000, 200_000, 500_000, 1_000_000, 5_000_000, 10_000_000)) -> list[dict]:
+def router_configs(n_points: int, budgets: tuple[int, ...] = (20_000, 100_000, 200_000, 500_000, 1_000_000, 2_000_000, 5_000_000, 10_000_000)) -> list[dict]:
     """Budgets with 64 centroids a node, and for the largest budgets with 128 too."""
     out = []
     for b in budgets:

@@ -342,11 +342,11 @@ def uncovered_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routing.uncovered(routing.from_truth(t.truth(), t.assignment), SHARDS)
 
 
-_VOTES = f"{_POINTS}, near AS (SELECT query_id, shard, dist FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, id) AS r FROM (SELECT query_id, id, shard, {_l2('v', 'qv')} AS dist FROM queries, points WHERE id % 3 = 0)) WHERE r <= 20), voted AS MATERIALIZED (SELECT query_id, shard, min(dist) AS min_dist, count(*) AS votes FROM near GROUP BY query_id, shard)"
+_VOTES = f"{_POINTS}, near AS (SELECT query_id, shard, dist FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, id) AS r FROM (SELECT query_id, id, shard, {_l2('v', 'qv')} AS dist FROM queries, points)) WHERE r <= 20), voted AS MATERIALIZED (SELECT query_id, shard, min(dist) AS min_dist, count(*) AS votes FROM near GROUP BY query_id, shard)"
 
 
 def _voted(t: Tables) -> DataFrame:
-    return routing.votes(t.points.join(t.assignment, "id").where("id % 3 = 0"), t.queries, 20)
+    return routing.votes(t.points.join(t.assignment, "id"), t.queries, 20)
 
 
 @query(f"WITH {_VOTES} SELECT query_id, shard, round(min_dist, 6) AS min_dist, votes FROM voted")
@@ -563,17 +563,19 @@ def sketch_knn_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PGRAPH = _GRAPH.replace(_ALL, f"{_POINTS}, everything AS (SELECT * FROM points)")
 
 
-@query(f"WITH {_PGRAPH}, {_COVER}, full_ AS (SELECT shard FROM cover GROUP BY shard HAVING count(*) >= 60), pull AS (SELECT src AS id, p.shard, count(*) AS affinity, min(rank) AS first FROM graph JOIN points p ON p.id = dst GROUP BY src, p.shard), free AS (SELECT * FROM pull WHERE NOT EXISTS (SELECT 1 FROM cover c WHERE c.id = pull.id AND c.shard = pull.shard) AND shard NOT IN (SELECT shard FROM full_)) SELECT id, shard, affinity FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY affinity DESC, first, shard) AS r FROM free) WHERE r = 1")
+@query(f"WITH {_PGRAPH}, {_COVER}, full_ AS (SELECT shard FROM cover GROUP BY shard HAVING count(*) >= (SELECT floor(1.3::DOUBLE * count(*) / 10) FROM points)), pull AS (SELECT src AS id, p.shard, count(*) AS affinity, min(rank) AS first FROM graph JOIN points p ON p.id = dst GROUP BY src, p.shard), free AS (SELECT * FROM pull WHERE NOT EXISTS (SELECT 1 FROM cover c WHERE c.id = pull.id AND c.shard = pull.shard) AND shard NOT IN (SELECT shard FROM full_)) SELECT id, shard, affinity FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY affinity DESC, first, shard) AS r FROM free) WHERE r = 1")
 def topmove_round(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = Tables(spark, sf_dir)
-    return overlap.top_moves(neighbours.exact_graph(t.points, K), t.assignment, t.cover, 60)
+    return overlap.top_moves(neighbours.exact_graph(t.points, K), t.assignment, t.cover, int(1.3 * t.points.count() / SHARDS))
 
 
-@query(f"WITH {_POINTS}, {_CENTERS}, rated AS (SELECT id, c.shard, {_l2('c', 'v')} AS dist FROM points p JOIN centers c ON c.shard <> p.shard), kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY dist, shard) AS r FROM rated WHERE shard NOT IN (SELECT shard FROM points GROUP BY shard HAVING count(*) >= 55)) WHERE r <= 5), fits AS (SELECT k.* FROM (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY dist, id) AS place FROM kept) k JOIN (SELECT shard, count(*) AS n FROM points GROUP BY shard) s USING (shard) WHERE place + n <= 55) SELECT id, shard FROM (SELECT * FROM fits ORDER BY dist, id, shard LIMIT 40)")
+@query(f"WITH {_POINTS}, {_CENTERS}, rated AS (SELECT id, c.shard, {_l2('c', 'v')} AS dist FROM points p JOIN centers c ON c.shard <> p.shard), kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY dist, shard) AS r FROM rated WHERE shard NOT IN (SELECT shard FROM points GROUP BY shard HAVING count(*) >= (SELECT floor(1.2::DOUBLE * count(*) / 10) FROM points))) WHERE r <= 5), fits AS (SELECT k.* FROM (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY dist, id) AS place FROM kept) k JOIN (SELECT shard, count(*) AS n FROM points GROUP BY shard) s USING (shard) WHERE place + n <= (SELECT floor(1.2::DOUBLE * count(*) / 10) FROM points)) SELECT id, shard FROM (SELECT *, row_number() OVER (ORDER BY dist, id, shard) AS o FROM fits) WHERE o <= (SELECT floor(0.1::DOUBLE * count(*)) FROM points)")
 def spann_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = Tables(spark, sf_dir)
-    rated = overlap.shard_ratings(t.points, centroids.centers(t.points, t.assignment), t.assignment, 55)
-    return overlap.admit(rated, t.assignment, 55, 40)
+    n = t.points.count()
+    cap = int(1.2 * n / SHARDS)
+    rated = overlap.shard_ratings(t.points, centroids.centers(t.points, t.assignment), t.assignment, cap)
+    return overlap.admit(rated, t.assignment, cap, int(0.1 * n))
 
 
 @query()
