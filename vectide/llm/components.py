@@ -51,6 +51,6 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         done, n = _settled(now)
         if done:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select("v", "v").distinct())
-        wide = materialize(_star(now, True, 2 * n), "cc")
-        now = materialize(_star(wide, False, wide.count()), "cc")
+        # a large star has as many edges as it is given at most
+        now = materialize(_star(materialize(_star(now, True, 2 * n), "cc"), False, n), "cc")
     raise RuntimeError(f"components: not settled in {max_rounds} rounds")
