@@ -45,11 +45,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     labels = ngram_join.ngram_components(docs, n=5, percent=80)
     rest = labels.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    # of rows of one id and text the first by all columns; which it is doesn't depend on the order of rows
+    # of rows of one id and text the first by all columns; which it is doesn't depend on the order of rows, and they are dealt by id already
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    one = docs.where("doc_id is not null").groupBy("doc_id", "text").agg(F.min(F.struct(*[F.col(f"`{c}`") for c in others])).alias("rest"))
+    one = docs.where("doc_id is not null").join(rest, "doc_id", "left_semi").groupBy("doc_id", "text").agg(F.min(F.struct(*[F.col(f"`{c}`") for c in others])).alias("rest"))
     one = one.select("doc_id", "text", *[F.col("rest").getField(c).alias(c) for c in others])
-    return one.join(rest, "doc_id", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(docs.where("doc_id is null"))
+    return one.select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(docs.where("doc_id is null"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -247,6 +247,10 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 def link(sets: list[np.ndarray], percent: int, left: np.ndarray | None = None, links: Links | None = None) -> Links:
     """Components among sets. left: a mask; then only pairs of one member within the mask and one outside count."""
     links = links or Links(len(sets))
+    if len(sets) == 2:
+        if similar(sets[0], sets[1], percent):
+            links.join(0, 1)
+        return links
     bits = np.stack([bitmap(s) for s in sets])
     sizes = np.array([len(s) for s in sets])
     spare = sizes - np.bitwise_count(bits).sum(axis=1)
