@@ -273,3 +273,16 @@ def test_plan_prunes_and_limits(spark):
 
     plan = QUERIES["exact_knn_l2"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "label" not in plan.split("FileScan")[1].split("\n")[0]
+
+
+@pytest.mark.parametrize("metric", ["l2", "mips"])
+def test_top_k_of_copies(metric, monkeypatch):
+    monkeypatch.setattr(kernels, "PAIRS", 7)
+    rng = np.random.default_rng(5)
+    points = np.repeat(rng.normal(size=(6, 4)), 5, axis=0)
+    ids = rng.permutation(len(points))
+    q, found, dist = kernels.top_k(ids, points, ids, points, 8, metric, exclude_self=True, step=11)
+    for i, v in zip(ids, points, strict=True):
+        d = kernels.distances(points, v, metric)
+        want = sorted((x, j) for x, j in zip(d, ids, strict=True) if j != i)[:8]
+        assert [(x, j) for x, j in zip(dist[q == i], found[q == i], strict=True)] == want

@@ -47,6 +47,7 @@ class Sketch:
     seed: int = 555
 
 
+SENT = 200_000  # children of a level, of some hundred bytes each, that go to every executor at most
 STRONG = Sketch(fanout=5, repetitions=5)
 
 
@@ -56,25 +57,22 @@ def sketch_buckets(points: DataFrame, how: Sketch, metric: str = "l2") -> DataFr
     A node's points go to their nearest leaders, to several at the top level. Children under tiny are packed into buckets; nodes that don't
     shrink any more, as copies don't, are cut by hash. Each repetition has leaders of its own; a table of one bucket has one repetition.
     """
-    vectors = points.select("id", F.col("vec").cast("array<double>").alias("vec"))
+    vectors = materialize(points.select("id", F.col("vec").cast("array<double>").alias("vec")), "sketch")
+    whole = F.lit(vectors.count()).cast("long")
     out = None
     for rep in range(how.repetitions):
-        now, depth = vectors.select("id", "vec", F.lit(f"{rep}").alias("node"), F.lit(None).cast("long").alias("above"), F.lit(False).alias("packed")), 0
+        now, depth = vectors.select("id", "vec", F.lit(f"{rep}").alias("node"), whole.alias("n"), F.lit(None).cast("long").alias("above"), F.lit(False).alias("packed")), 0
         while True:
-            now = materialize(now, "sketch")
-            sizes = now.groupBy("node").agg(F.count(F.lit(1)).alias("n"))
-            rows = now.join(sizes, "node")
             # copies and near-copies don't shrink: they are cut by hash
             stuck = F.lit(depth > how.max_depth + 1) | (F.lit(depth > how.doubtful_depth + 1) & (F.col("n") > how.unshrunk * F.col("above")))
             cut = F.pmod(hash_order(how.seed, "id"), F.ceil(F.col("n") / how.bucket))
             fits = F.col("packed") | (F.col("n") <= how.bucket)
-            small, large = rows.where(fits).select(F.col("node").alias("bucket"), "id"), rows.where(~fits)
+            small, large = now.where(fits).select(F.col("node").alias("bucket"), "id"), now.where(~fits)
             ended = small.unionByName(large.where(stuck).select(F.concat_ws("#", "node", cut.cast("string")).alias("bucket"), "id"))
             out = ended if out is None else out.unionByName(ended)
             rest = large.where(~stuck)
             if rest.isEmpty():
                 break
-            rest = materialize(rest, "rest")
             now = _pack_tiny(_to_leaders(rest, _leaders(rest, how, rep, depth), how.fanout if depth == 0 else 1, metric), how)
             depth += 1
         if depth == 0:
@@ -94,20 +92,25 @@ def _leaders(rest: DataFrame, how: Sketch, rep: int, depth: int) -> DataFrame:
 
 
 def _to_leaders(rows: DataFrame, leaders: DataFrame, fanout: int, metric: str) -> DataFrame:
-    near = nearest_in_parts(rows.select("id", "vec", F.col("node").alias("part")), materialize(leaders, "leaders"), fanout, metric)
-    child = near.select("id", F.col("part").alias("node"), "leader")
-    return rows.join(child, ["id", "node"]).select("id", "vec", F.concat_ws(".", "node", F.col("leader").cast("string")).alias("node"), F.col("n").alias("above"))
+    near = nearest_in_parts(rows.select("id", "vec", F.col("node").alias("part"), "n"), materialize(leaders, "leaders"), fanout, metric, ("vec", "n"))
+    return near.select("id", "vec", F.concat_ws(".", "part", F.col("leader").cast("string")).alias("node"), F.col("n").alias("above"))
 
 
 def _pack_tiny(rows: DataFrame, how: Sketch) -> DataFrame:
-    """Children under tiny, smallest first, share buckets of about how.merged points. One row for each child is ordered."""
+    """Children under tiny, smallest first, share buckets of about how.merged points. One row for each child is ordered.
+
+    Children up to SENT go to the vectors; beyond that, vectors meet them in a join.
+    """
     parent = F.regexp_extract("node", r"^(.*)\.[^.]*$", 1)
     rows = materialize(rows, "children")
     sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).withColumn("parent", parent)
     so_far = F.sum("n").over(Window.partitionBy("parent").orderBy("n", "node"))
-    packed = sizes.where(F.col("n") < how.tiny).withColumn("bin", F.floor(so_far / F.lit(how.merged)))
-    to = packed.select("node", F.concat("parent", F.lit(".m"), F.col("bin").cast("string")).alias("to"))
-    return rows.join(to, "node", "left").select("id", "vec", F.coalesce("to", "node").alias("node"), "above", F.col("to").isNotNull().alias("packed"))
+    packed = F.col("n") < how.tiny
+    to = F.when(packed, F.concat("parent", F.lit(".m"), F.floor(so_far / F.lit(how.merged)).cast("string"))).otherwise(F.col("node"))
+    sizes = materialize(sizes.select("node", to.alias("to"), "n", packed.alias("packed")), "sizes")
+    if sizes.count() <= SENT:
+        sizes = F.broadcast(sizes)
+    return rows.join(sizes, "node").select("id", "vec", F.col("to").alias("node"), "n", "above", "packed")
 
 
 def approximate_graph(points: DataFrame, k: int, how: Sketch | None = None, metric: str = "l2") -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
+PAIRS = 65_536  # summed anew at a time
+
 
 def distances(points: np.ndarray, query: np.ndarray, metric: str) -> np.ndarray:
     """From each point, summed row by row, so that equal vectors get equal values wherever they stand."""
@@ -13,6 +15,14 @@ def distances(points: np.ndarray, query: np.ndarray, metric: str) -> np.ndarray:
     return 1.0 - (points * query).sum(axis=1)
 
 
+def _pairwise(points: np.ndarray, queries: np.ndarray, metric: str) -> np.ndarray:
+    """As distances, row against row."""
+    if metric == "l2":
+        diff = points - queries
+        return (diff * diff).sum(axis=1)
+    return 1.0 - (points * queries).sum(axis=1)
+
+
 def matrix(points: np.ndarray, queries: np.ndarray, metric: str) -> np.ndarray:
     """Distances by matrix product, right up to rounding: one row for each query."""
     product = queries @ points.T
@@ -29,19 +39,22 @@ def top_k(ids: np.ndarray, points: np.ndarray, query_ids: np.ndarray, queries: n
     out = []
     scale = 1e-9 * (1.0 + float(np.abs(points).max(initial=0.0)) * float(np.abs(queries).max(initial=0.0)) * points.shape[1])
     for at in range(0, len(queries), step):
-        rough = matrix(points, queries[at : at + step], metric)
-        for j, row in enumerate(rough):
-            q = query_ids[at + j]
-            if exclude_self:
-                row[ids == q] = np.inf
-            m = min(k, len(row))
-            if not m:
-                continue
-            near = np.flatnonzero(row <= np.partition(row, m - 1)[m - 1] + scale)
-            near = near[np.isfinite(row[near])]
-            exact = distances(points[near], queries[at + j], metric)
-            best = np.lexsort((ids[near], exact))[:k]
-            out.append((np.full(len(best), q), ids[near][best], exact[best]))
+        some, of = query_ids[at : at + step], queries[at : at + step]
+        rough = matrix(points, of, metric)
+        if exclude_self:
+            rough[some[:, None] == ids[None, :]] = np.inf
+        m = min(k, len(ids))
+        if not m:
+            continue
+        row, near = np.nonzero((rough <= np.partition(rough, m - 1, axis=1)[:, m - 1, None] + scale) & np.isfinite(rough))
+        exact = np.empty(len(row))
+        for a in range(0, len(row), PAIRS):  # copies may all be as near as the k-th
+            s = slice(a, a + PAIRS)
+            exact[s] = _pairwise(points[near[s]], of[row[s]], metric)
+        order = np.lexsort((ids[near], exact, row))
+        row, near, exact = row[order], near[order], exact[order]
+        best = np.arange(len(row)) - np.searchsorted(row, row) < k
+        out.append((some[row[best]], ids[near[best]], exact[best]))
     if not out:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))

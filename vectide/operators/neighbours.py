@@ -103,23 +103,24 @@ def exact_graph(points: DataFrame, k: int, metric: str = "l2") -> DataFrame:
     return ground_truth(points, asked, k, metric, exclude_self=True).select(F.col("query_id").alias("src"), F.col("neighbor_id").alias("dst"), "rank", "dist")
 
 
-def nearest_in_parts(rows: DataFrame, leaders: DataFrame, k: int, metric: str = "l2") -> DataFrame:
+def nearest_in_parts(rows: DataFrame, leaders: DataFrame, k: int, metric: str = "l2", keep: tuple[str, ...] = ()) -> DataFrame:
     """(part, id, rank, leader, dist): the k nearest leaders(id, vec, part) of each of rows(id, vec, part) in its part.
 
     Leaders of at most LEADER_BYTES in all go to executors, and rows aren't shuffled; more leaders meet the rows in blocks. Both
-    ways give the same.
+    ways give the same. Columns of rows named in keep come along.
     """
     kind = dict(rows.dtypes)["part"]
     given = leaders.select("part", F.col("id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec"))
     head = given.first()
     if head is None:
-        return rows.where("false").select("part", F.col("id").cast("long").alias("id"), F.lit(0).alias("rank"), F.lit(0).cast("long").alias("leader"), F.lit(0.0).alias("dist"))
+        return rows.where("false").select("part", F.col("id").cast("long").alias("id"), F.lit(0).alias("rank"), F.lit(0).cast("long").alias("leader"), F.lit(0.0).alias("dist"), *keep)
     most = max(1, LEADER_BYTES // (8 * max(1, len(head["vec"])) + 16))
     held = given.limit(most + 1).collect()
     if len(held) > most:
         asked = rows.select("part", F.col("id").alias("query_id"), F.col("vec").alias("qvec"))
         found = block_search(leaders.select("part", "id", "vec"), asked, k, metric)
-        return found.select("part", F.col("query_id").alias("id"), F.col("rank").cast("int").alias("rank"), F.col("neighbor_id").alias("leader"), "dist")
+        found = found.select("part", F.col("query_id").alias("id"), F.col("rank").cast("int").alias("rank"), F.col("neighbor_id").alias("leader"), "dist")
+        return found.join(rows.select("part", F.col("id").cast("long").alias("id"), *keep), ["part", "id"]) if keep else found
     by: dict = {}
     for r in held:
         by.setdefault(r["part"], []).append(r)
@@ -143,10 +144,12 @@ def nearest_in_parts(rows: DataFrame, leaders: DataFrame, k: int, metric: str =
                 else:
                     row, found, dist = kernels.top_k(at, center, own, v[own], k, metric)
                     rank = (np.arange(len(row)) - np.searchsorted(row, row) + 1).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array([p.item()] * len(row), b.schema.field(0).type), pa.array(ids[row]), pa.array(rank), pa.array(found), pa.array(dist)], names=["part", "id", "rank", "leader", "dist"])
+                along = [b.column(c).take(pa.array(row)) for c in range(3, b.num_columns)]
+                yield pa.RecordBatch.from_arrays([pa.array([p.item()] * len(row), b.schema.field(0).type), pa.array(ids[row]), pa.array(rank), pa.array(found), pa.array(dist), *along], names=["part", "id", "rank", "leader", "dist", *keep])
 
-    three = rows.select("part", F.col("id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec"))
-    return three.mapInArrow(run, f"part {kind}, id long, rank int, leader long, dist double")
+    whole = rows.select("part", F.col("id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec"), *[F.col(c).alias(f"keep_{c}") for c in keep])
+    kept = "".join(f", {c} {dict(rows.dtypes)[c]}" for c in keep)
+    return whole.mapInArrow(run, f"part {kind}, id long, rank int, leader long, dist double{kept}")
 
 
 def as_matrix(column: pa.Array) -> np.ndarray:

@@ -66,8 +66,8 @@ def _coarsen(edges: DataFrame, nodes: DataFrame, limit: int, seed: int, rounds:
     for r in range(rounds):
         of = label.select(F.col("id").alias("dst"), F.col("label").alias("to"))
         best = edges.join(of, "dst").groupBy(F.col("src").alias("id"), "to").agg(F.sum("weight").alias("w"))
-        first = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("w"), hash_order(seed + r, "to"), "to"))
-        best = best.withColumn("r", first).where("r = 1").select("id", "to")
+        first = F.min(F.struct(-F.col("w"), hash_order(seed + r, "to"), "to"))
+        best = best.groupBy("id").agg(first.alias("first")).select("id", F.col("first.to").alias("to"))
         sizes = label.groupBy("label").agg(F.sum("weight").alias("held")).withColumnRenamed("label", "to")
         turn = F.pmod(hash_order(seed + r, "id"), F.lit(2)) == r % 2
         asked = label.join(best, "id").where(turn & (F.col("to") != F.col("label"))).join(sizes, "to")
@@ -84,10 +84,11 @@ def refine(edges: DataFrame, nodes: DataFrame, shard: DataFrame, cap: int, round
         of = now.select(F.col("id").alias("dst"), F.col("shard").alias("to"))
         pull = edges.join(of, "dst").groupBy(F.col("src").alias("id"), "to").agg(F.sum("weight").alias("w"))
         own = pull.join(now, "id")
-        here = own.groupBy("id").agg(F.coalesce(F.max(F.when(F.col("to") == F.col("shard"), F.col("w"))), F.lit(0)).alias("here"))
-        first = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("w"), "to"))
-        best = own.withColumn("r", first).where("r = 1 and to <> shard").join(here, "id").where("w > here").select("id", "to", (F.col("w") - F.col("here")).alias("gain"))
-        best = best.where(F.pmod(hash_order(seed, "id"), F.lit(2)) == r % 2).join(nodes, "id")
+        here = F.coalesce(F.max(F.when(F.col("to") == F.col("shard"), F.col("w"))), F.lit(0)).alias("here")
+        first = F.min(F.struct((-F.col("w")).alias("w"), "to")).alias("first")
+        best = own.where(F.pmod(hash_order(seed, "id"), F.lit(2)) == r % 2).groupBy("id", "shard").agg(first, here)
+        best = best.select("id", "shard", F.col("first.to").alias("to"), (-F.col("first.w") - F.col("here")).alias("gain"))
+        best = best.where("to <> shard and gain > 0").drop("shard").join(nodes, "id")
         held = now.join(nodes, "id").groupBy(F.col("shard").alias("to")).agg(F.sum("weight").alias("held"))
         so_far = F.sum("weight").over(Window.partitionBy("to").orderBy(F.desc("gain"), "id"))
         go = best.join(F.broadcast(held), "to").withColumn("all", so_far + F.col("held")).where(F.col("all") <= cap).select("id", "to")  # one row for each shard
