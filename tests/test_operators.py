@@ -286,3 +286,16 @@ def test_top_k_of_copies(metric, monkeypatch):
         d = kernels.distances(points, v, metric)
         want = sorted((x, j) for x, j in zip(d, ids, strict=True) if j != i)[:8]
         assert [(x, j) for x, j in zip(dist[q == i], found[q == i], strict=True)] == want
+
+
+def test_last_ids(spark):
+    rng = np.random.default_rng(3)
+    ids = np.unique(np.concatenate([rng.integers(-(2**63), 2**63 - 1, 40), rng.integers(0, 200, 150), rng.integers(2**60, 2**61, 60)]))
+    table = pd.DataFrame({"id": ids, "shard": rng.integers(0, 5, len(ids)).astype(np.int32)})
+    room = {0: 10, 1: 0, 2: 1, 3: 1000}
+    df = spark.createDataFrame(table)
+    for bins in (2, 3, 1024):
+        got = rows(df.where(shards.up_to(shards.last_ids(df, room, bins))), "id", "shard")
+        ranked = table.sort_values("id").assign(place=lambda t: t.groupby("shard").cumcount())
+        assert got == sorted((r.id, r.shard) for r in ranked.itertuples() if r.place < room.get(r.shard, 0))
+    assert shards.last_ids(df.where("false"), room) == {}

@@ -15,7 +15,7 @@ from ..functions.vectors import check_metric, normalise, positive_distance, squa
 from ..sources.shared import materialize
 from . import kernels
 from .neighbours import as_matrix
-from .shards import hash_order, random_sample
+from .shards import hash_order, last_ids, random_sample, up_to
 
 SEED = 555
 
@@ -141,9 +141,9 @@ def evict_overloaded(points: DataFrame, assignment: DataFrame, at: np.ndarray, c
     deferred acceptance: in each round every point asks the nearest shard that hasn't turned it down, and a shard keeps as many of
     those that ask as it has room for, the first in order. No points meet in one task but those that ask one shard, as a sorted stream.
     """
-    place = F.row_number().over(Window.partitionBy("shard").orderBy("id"))
-    placed = materialize(assignment.select("id", "shard").withColumn("place", place), "placed")
-    stay, out = placed.where(F.col("place") <= cap).select("id", "shard"), placed.where(F.col("place") > cap).select("id", F.col("shard").alias("home"))
+    placed = materialize(assignment.select("id", "shard"), "placed")
+    within = up_to(last_ids(placed, dict.fromkeys(range(len(at)), cap)))
+    stay, out = placed.where(within), placed.where(~within).select("id", F.col("shard").alias("home"))
     sizes = {r["shard"]: r["n"] for r in stay.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}
     room = [cap - sizes.get(c, 0) for c in range(len(at))]
     if sum(room) < out.count():

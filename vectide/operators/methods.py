@@ -15,7 +15,7 @@ from .graphs import STRONG, Sketch, approximate_graph, symmetrise
 from .neighbours import closest_leaders
 from .overlap import overlap_by_centers, overlapping_graph_partition
 from .partitioner import partition_graph
-from .shards import random_shards
+from .shards import last_ids, random_shards, up_to
 from .trees import TreeOptions, train_trees
 
 EPSILON = 0.05
@@ -42,7 +42,7 @@ def graph_partition(points: DataFrame, k: int, metric: str = "l2", strong: bool
 def pyramid(points: DataFrame, k: int, metric: str = "l2", sample: int = 10_000_000, aggregates: int = 10_000) -> DataFrame:
     """Aggregates of a sample are partitioned as a graph; points go to the shard of the nearest aggregate that has room.
 
-    Each round ranks points within their shard by id, so no shard exceeds its cap; the rest look on among the shards with room.
+    In each round shards take points by id up to their cap; the rest look on among the shards with room.
     """
     n = points.count()
     cap, m = capacity(n, k), max(k, min(aggregates, n // 4 or 1))
@@ -56,16 +56,18 @@ def pyramid(points: DataFrame, k: int, metric: str = "l2", sample: int = 10_000_
         free = [s for s, r in room.items() if r > 0]
         leaders = nodes.join(owner.where(F.col("shard").isin(free)), "id")
         near = closest_leaders(waiting, leaders.select("id", "vec"), 1, metric).join(owner.select(F.col("id").alias("leader"), "shard"), "leader")
-        left = F.create_map(*[F.lit(x) for s in free for x in (s, room[s])])
-        ranked = near.withColumn("place", F.row_number().over(Window.partitionBy("shard").orderBy("id")))
-        step = materialize(ranked.select("id", "shard", (F.col("place") <= left[F.col("shard")]).alias("in")), "round")
+        near = materialize(near.select("id", "shard"), "round")
+        step = near.withColumn("in", up_to(last_ids(near, room)))
         placed = step.where("in").select("id", "shard")
         done = placed if done is None else done.unionByName(placed)
-        for r in placed.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect():
+        got = placed.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()
+        for r in got:
             room[r["shard"]] -= r["n"]
         rest = step.where("not in").select("id")
         if rest.isEmpty():
             return done
+        if not got:
+            raise ValueError("ids repeat more often than a shard has room")
         waiting = materialize(points.select("id", "vec").join(rest, "id", "left_semi"), "waiting")
         owned = {r["shard"] for r in owner.select("shard").distinct().collect()}
         if not any(room[s] > 0 for s in owned):  # shards without an aggregate take what is left

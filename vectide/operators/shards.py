@@ -93,3 +93,44 @@ def budget_shares(moves: DataFrame, budget: int) -> DataFrame:
     """moves(shard, m) with take: what each shard may take, shard by shard, until the budget is spent."""
     before = F.coalesce(F.sum("m").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return moves.withColumn("take", F.greatest(F.lit(0), F.least(F.col("m"), F.lit(budget) - before)))
+
+
+def up_to(last: dict[int, int]) -> Column:
+    """Whether the id of a row(id, shard) isn't past the last of its shard."""
+    if not last:
+        return F.lit(True)
+    of = F.create_map(*[F.lit(x) for s, i in sorted(last.items()) for x in (s, i)])
+    return F.coalesce(F.col("id") <= F.try_element_at(of, F.col("shard")), F.lit(True))
+
+
+def last_ids(rows: DataFrame, room: dict[int, int], bins: int = 1024) -> dict[int, int]:
+    """The id up to which each shard of rows(id, shard) has room; shards that have room for all aren't named.
+
+    Ids are counted in bins and the bin where room ends is counted anew, so nothing is sorted and only bins go to the driver. A shard
+    without room, or not in room, gets an id below its least. Rows of one id fit together or not at all.
+    """
+    stats = {r["shard"]: r for r in rows.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi")).collect()}
+    out = {s: r["lo"] - 1 for s, r in stats.items() if r["n"] > room.get(s, 0) <= 0}
+    open_ = {s: (r["lo"], r["hi"], room[s]) for s, r in stats.items() if r["n"] > room.get(s, 0) > 0}
+    while open_:
+        at = F.lit(None).cast("long")
+        for s, (lo, hi, _) in open_.items():
+            step = (hi - lo) // bins + 1
+            gap = (F.col("id").cast("decimal(20,0)") if hi - lo >= 2**63 else F.col("id")) - F.lit(lo)
+            at = F.when((F.col("shard") == s) & F.col("id").between(lo, hi), F.round((gap - gap % F.lit(step)) / F.lit(step)).cast("long")).otherwise(at)
+        held: dict[int, dict[int, int]] = {}
+        for r in rows.withColumn("bin", at).where("bin is not null").groupBy("shard", "bin").agg(F.count(F.lit(1)).alias("n")).collect():
+            held.setdefault(r["shard"], {})[r["bin"]] = r["n"]
+        nxt = {}
+        for s, (lo, hi, left) in open_.items():
+            step = (hi - lo) // bins + 1
+            for b in sorted(held[s]):
+                if held[s][b] > left:
+                    if step == 1 or not left:  # no further id fits
+                        out[s] = lo + b * step - 1
+                    else:
+                        nxt[s] = (lo + b * step, min(hi, lo + (b + 1) * step - 1), left)
+                    break
+                left -= held[s][b]
+        open_ = nxt
+    return out
