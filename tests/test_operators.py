@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from vectide.functions import vectors as V
-from vectide.operators import attribution, centroids, graphs, kernels, methods, neighbours, overlap, partitioner, recall, routing, search, shards, trees
+from vectide.operators import attribution, centroids, graphs, kernels, lloyd, methods, neighbours, overlap, partitioner, recall, routing, search, shards, trees
 
 
 def rows(df, *columns):
@@ -226,6 +226,30 @@ def test_tree_with_ample_budget_finds_the_nearest_centroid(cloud, spark):
     assert got.count() == 30
 
 
+@pytest.mark.parametrize("metric", ["l2", "mips"])
+def test_large_nodes_are_clustered_like_small_ones(cloud, metric, monkeypatch):
+    points, _ = cloud
+    points = points.select("id", F.transform("vec", lambda x: F.round(x * 64) / 64).alias("vec"))  # sums are exact, in any order
+    assignment = points.select("id", (F.col("id") % 3 == 0).cast("int").alias("shard")).persist()
+    how = trees.TreeOptions(num_centroids=4, min_cluster_size=10, budget=60, rounds=3)
+    monkeypatch.setattr(lloyd, "CENTER_VALUES", 40)  # so that nodes take turns
+
+    def tree(large):
+        return sorted((r["shard"], r["node"], r["centroid"], r["child"], tuple(np.round(r["vec"], 9))) for r in trees.train_trees(points, assignment, how, metric, large).collect())
+
+    assert tree(20) == tree(10**6) and len({n for _, n, *_ in tree(10**6)}) > 5
+    for large in (20, 300):
+        assert rows(centroids.hierarchical_kmeans(points, 0.05, metric=metric, rounds=3, large=large)[0], "id", "leaf") == rows(centroids.hierarchical_kmeans(points, 0.05, metric=metric, rounds=3)[0], "id", "leaf")
+        assert rows(centroids.split_shards(points.join(assignment, "id"), 50, metric, 3, large), "id", "part") == rows(centroids.split_shards(points.join(assignment, "id"), 50, metric, 3), "id", "part")
+
+
+@pytest.mark.parametrize("large", [5, 10**6])
+def test_shards_of_copies_are_dealt_evenly(spark, large):
+    df = spark.createDataFrame([(i, [1.0, 2.0], 7) for i in range(50)], "id long, vec array<double>, shard int")
+    out = centroids.split_shards(df, 20, "l2", 2, large).groupBy("shard", "part").count().collect()
+    assert sorted((r["shard"], r["part"], r["count"]) for r in out) == [(7, 0, 17), (7, 1, 17), (7, 2, 16)]
+
+
 def test_navigable_graph_recall(cloud, spark):
     points, v = cloud
     asked = spark.createDataFrame([(k, (v[k] + 0.1).tolist()) for k in range(0, 240, 8)], "query_id long, qvec array<double>")

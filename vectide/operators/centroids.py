@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from ..functions.vectors import check_metric, normalise, positive_distance, squared_norm
 from ..sources.shared import materialize
 from . import kernels
+from .lloyd import LARGE, keyed, lloyd_round, node_kmeans, split_by_size
 from .neighbours import as_matrix
-from .shards import hash_order, last_ids, random_sample, up_to
+from .shards import last_ids, random_sample, random_shards, up_to
 
 SEED = 555
 
@@ -56,66 +57,12 @@ def objective(points: DataFrame, assignment: DataFrame, at: DataFrame, metric: s
     return both.agg(F.sum(positive_distance(F.col("vec"), F.col("center"), metric)).alias("objective"))
 
 
-def _lloyd_round(points: DataFrame, at: np.ndarray, metric: str) -> np.ndarray:
-    """New centers, without empty clusters. Each partition sends k sums of d values, added up cluster by cluster."""
-    sent = points.sparkSession.sparkContext.broadcast(at)
-
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        k, d = sent.value.shape
-        sums, counts, squares = np.zeros((k, d)), np.zeros(k), np.zeros(k)
-        for b in batches:
-            if not b.num_rows:
-                continue
-            v = as_matrix(b.column(0))
-            index, _ = kernels.nearest_center(v, sent.value, metric)
-            n2 = (v * v).sum(axis=1)
-            _add(sums, index, v if metric == "l2" else v / np.sqrt(np.where(n2 > 0, n2, 1))[:, None])
-            counts += np.bincount(index, minlength=k)
-            squares += np.bincount(index, weights=n2, minlength=k)
-        used = np.flatnonzero(counts)
-        yield _sums(used, sums[used], counts[used], squares[used])
-
-    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        k, d = sent.value.shape
-        sums, counts, squares = np.zeros((k, d)), np.zeros(k), np.zeros(k)
-        for b in batches:
-            if b.num_rows:
-                c, n, q = (b.column(x).to_numpy(zero_copy_only=False) for x in (0, 2, 3))
-                _add(sums, c, as_matrix(b.column(1)))
-                np.add.at(counts, c, n)
-                np.add.at(squares, c, q)
-        used = np.flatnonzero(counts)
-        yield _sums(used, sums[used], counts[used], squares[used])
-
-    schema = "c long, s array<double>, n double, q double"
-    parts = points.select(F.col("vec").cast("array<double>").alias("vec")).mapInArrow(partial, schema)
-    rows = sorted(parts.repartition("c").mapInArrow(total, schema).collect(), key=lambda r: r["c"])
-    sent.destroy()
-    out = []
-    for r in rows:
-        s = np.array(r["s"])
-        out.append(s / r["n"] if metric == "l2" else s / (np.sqrt((s * s).sum()) or 1) * np.sqrt(r["q"] / r["n"]))
-    return np.array(out)
-
-
-def _add(sums: np.ndarray, index: np.ndarray, v: np.ndarray) -> None:
-    """sums[index] += v, where an index may repeat."""
-    order = np.argsort(index, kind="stable")
-    c, first = np.unique(index[order], return_index=True)
-    if len(c):
-        sums[c] += np.add.reduceat(v[order], first, axis=0)
-
-
-def _sums(c: np.ndarray, s: np.ndarray, n: np.ndarray, q: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)), pa.array(list(s), pa.list_(pa.float64())), pa.array(n), pa.array(q)], names=["c", "s", "n", "q"])
-
-
 def kmeans(points: DataFrame, start: np.ndarray, metric: str = "l2", rounds: int = 20) -> tuple[DataFrame, np.ndarray]:
     """(assignment(id, shard, dist), centers) after exactly so many rounds. The assignment is one step behind the centers."""
     at = np.asarray(start, dtype=float)
     for _ in range(rounds - 1):
-        at = _lloyd_round(points, at, check_metric(metric))
-    last = _lloyd_round(points, at, metric)
+        at = lloyd_round(points, at, check_metric(metric))[1]
+    last = lloyd_round(points, at, metric)[1]
     return _compact(assign(points, at, metric)), last
 
 
@@ -169,20 +116,19 @@ def evict_overloaded(points: DataFrame, assignment: DataFrame, at: np.ndarray, c
         state = state.drop("no")
 
 
-def recursive_kmeans(points: DataFrame, k: int, cap: int, metric: str = "l2", rounds: int = 20, max_levels: int = 20) -> DataFrame:
+def recursive_kmeans(points: DataFrame, k: int, cap: int, metric: str = "l2", rounds: int = 20, large: int = LARGE) -> DataFrame:
     """(id, shard): k-means, then each shard over cap is clustered again into ceil(size / cap) parts, all shards of a level in one job.
 
     The first part keeps the shard's id, others get the next free ones; so there may be more than k shards.
     """
     now = flat_kmeans(points, k, metric, rounds)
-    for _ in range(max_levels):
+    while True:
         now = materialize(now, "level")
         sizes = {r["shard"]: r["n"] for r in now.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}
         over = {s: n for s, n in sizes.items() if n > cap}
         if not over:
             return now
-        labels = split_shards(points.join(now.where(F.col("shard").isin(list(over))), "id"), cap, metric, rounds)
-        labels = materialize(labels, "split")
+        labels = split_shards(points.join(now.where(F.col("shard").isin(list(over))), "id"), cap, metric, rounds, large)
         parts = {r["shard"]: r["m"] for r in labels.groupBy("shard").agg(F.max("part").alias("m")).collect()}
         nxt, start = max(sizes) + 1, {}
         for s in sorted(parts):
@@ -191,54 +137,65 @@ def recursive_kmeans(points: DataFrame, k: int, cap: int, metric: str = "l2", ro
         first = F.create_map(*[F.lit(x) for s, n in start.items() for x in (s, n)])
         moved = labels.select("id", F.when(F.col("part") == 0, F.col("shard")).otherwise(first[F.col("shard")] + F.col("part") - 1).cast("int").alias("shard"))
         now = now.where(~F.col("shard").isin(list(over))).unionByName(moved)
-    return now
 
 
-def split_shards(rows: DataFrame, cap: int, metric: str, rounds: int = 20) -> DataFrame:
-    """(id, shard, part): each shard of rows(id, vec, shard) clustered into ceil(size / cap) parts by itself; equal points are cut by number."""
+def split_shards(rows: DataFrame, cap: int, metric: str, rounds: int = 20, large: int = LARGE) -> DataFrame:
+    """(id, shard, part): each shard of rows(id, vec, shard) clustered into ceil(size / cap) parts by itself; equal points are dealt evenly.
+
+    Shards of more than so many values are clustered by all tasks, others by one task each.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id")
         v, ids = np.stack(pdf["vec"].to_numpy()).astype(float), pdf["id"].to_numpy()
-        parts = ceil(len(pdf) / cap)
-        part, _ = kernels.lloyd(v, v[kernels.sample_rows(ids, parts, SEED)], metric, rounds)
-        if part.max() == 0 and parts > 1:
-            part = np.arange(len(pdf)) % parts
+        part, _ = kernels.lloyd(v, v[kernels.sample_rows(ids, ceil(len(pdf) / cap), SEED)], metric, rounds)
         return pd.DataFrame({"id": ids, "shard": pdf["shard"].to_numpy(), "part": part})
 
-    return rows.groupBy("shard").applyInPandas(run, "id long, shard int, part long")
-
-
-def balanced_kmeans(points: DataFrame, k: int, cap: int, metric: str = "l2", rounds: int = 20, sweeps: int = 30, batches: int = 8) -> DataFrame:
+    small, rest, sizes = split_by_size(keyed(rows.select("id", "vec", "shard"), "shard"), "shards", large)
+    labels = small.drop("node").groupBy("shard").applyInPandas(run, "id long, shard int, part long")
+    if rest is not None:
+        placed, _ = node_kmeans(rest, {s: (ceil(n / cap), SEED) for s, n in sizes.items()}, metric, rounds)
+        labels = labels.unionByName(placed.select("id", "shard", F.col("part").cast("long").alias("part")))
+    labels = materialize(labels, "split")
+    alike = {r["shard"]: r["n"] for r in labels.groupBy("shard").agg(F.max("part").alias("m"), F.count(F.lit(1)).alias("n")).where("m = 0").collect() if r["n"] > cap}
+    if not alike:
+        return labels
+    out = labels.where(~F.col("shard").isin(list(alike)))
+    for s, n in sorted(alike.items()):
+        dealt = random_shards(labels.where(F.col("shard") == s), ceil(n / cap), SEED)
+        out = out.unionByName(dealt.select("id", F.lit(s).cast("int").alias("shard"), F.col("shard").cast("long").alias("part")))
+    return materialize(out, "split")
+
+
+def balanced_kmeans(points: DataFrame, k: int, cap: int, metric: str = "l2", rounds: int = 20, sweeps: int = 30) -> DataFrame:
     """(id, shard) of at most cap points each: k-means, then sweeps in which points move by distance plus a growing price of size.
 
-    Each sweep goes over hash-ordered mini-batches, as one job each: points see the sizes before the batch. The price starts where the
-    cheapest needed move is and grows by a factor; the balanced assignment with the least cost so far is kept, and what is still over cap
-    at the end is evicted.
+    A sweep is one job: all points see the sizes before it, and shards lose no more than their excess. The price starts where the
+    cheapest needed move is and grows by a factor. The first assignment within cap is taken; what is still over cap after so many sweeps
+    is evicted.
     """
     assigned, at = kmeans(points, sample_vectors(points, k), metric, rounds)
     at = at.copy()
     now = materialize(assigned.select("id", "shard"), "balanced")
-    price, best = 0.0, None
+    price = 0.0
     for sweep in range(sweeps):
         size = np.zeros(len(at))
         for r in now.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect():
             size[r["shard"]] = r["n"]
         if size.max() <= cap:
-            best = now
-            break
-        step = _priced(points.join(now, "id").withColumn("batch", F.pmod(hash_order(sweep, "id"), F.lit(batches))), at, size, price, cap, metric)
-        moved = materialize(step, "balanced")
+            return now
+        moved = materialize(_priced(points.join(now, "id"), at, size, price, cap, metric), "balanced")
         need = moved.agg(F.min("need")).first()[0]
         price = (1.5009 - 0.0009 * sweep) * need if need is not None and np.isfinite(need) and need > price else max(price, 1e-9) * 1.5
         now = moved.select("id", "shard")
-    return best if best is not None else evict_overloaded(points, now, at, cap, metric)
+    return evict_overloaded(points, now, at, cap, metric)
 
 
 def _priced(rows: DataFrame, at: np.ndarray, size: np.ndarray, price: float, cap: int, metric: str) -> DataFrame:
-    """(id, shard, need): in one of the batches of a sweep, points of overloaded shards move where distance + price * size is less.
+    """(id, shard, need): points of overloaded shards move where distance + price * size is less.
 
     need: the smallest price at which a point that stays would leave. A shard loses no more than its excess: the least costly moves go.
+    Only points that would move are put in order.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -256,43 +213,62 @@ def _priced(rows: DataFrame, at: np.ndarray, size: np.ndarray, price: float, cap
             go = (size[own] > cap) & (lowest <= price)
             yield pd.DataFrame({"id": pdf["id"], "shard": own, "to": np.where(go, to, own).astype(np.int32), "gain": np.where(go, lowest, np.inf), "need": np.where(go | (size[own] <= cap), np.inf, lowest)})
 
-    asked = rows.mapInPandas(run, "id long, shard int, to int, gain double, need double")
+    asked = materialize(rows.mapInPandas(run, "id long, shard int, to int, gain double, need double"), "asked")
     leave = F.row_number().over(Window.partitionBy("shard").orderBy("gain", "id"))
-    enter = F.row_number().over(Window.partitionBy("to", F.col("to") != F.col("shard")).orderBy("gain", "id"))
+    enter = F.row_number().over(Window.partitionBy("to").orderBy("gain", "id"))
     excess = F.create_map(*[F.lit(x) for s, n in enumerate(size) for x in (s, int(max(0, n - cap)))])
     room = F.create_map(*[F.lit(x) for s, n in enumerate(size) for x in (s, int(max(0, cap - n)))])
-    moves = (F.col("to") != F.col("shard")) & (F.col("out") <= excess[F.col("shard")]) & (F.col("in") <= room[F.col("to")])
-    return asked.withColumns({"out": leave, "in": enter}).select("id", F.when(moves, F.col("to")).otherwise(F.col("shard")).alias("shard"), F.when(F.isnan("need") | (F.col("need") > 1e300), None).otherwise(F.col("need")).alias("need"))
+    may = (F.col("out") <= excess[F.col("shard")]) & (F.col("in") <= room[F.col("to")])
+    going = asked.where(F.col("to") != F.col("shard")).withColumns({"out": leave, "in": enter})
+    moved = going.select("id", F.when(may, F.col("to")).otherwise(F.col("shard")).alias("shard"), F.lit(None).cast("double").alias("need"))
+    stays = asked.where(F.col("to") == F.col("shard")).select("id", "shard", F.when(F.col("need") <= 1e300, F.col("need")).alias("need"))
+    return moved.unionByName(stays)
 
 
-def hierarchical_kmeans(points: DataFrame, ratio: float = 0.02, fanout: int = 64, metric: str = "l2", rounds: int = 20, max_levels: int = 12) -> tuple[DataFrame, DataFrame]:
+def hierarchical_kmeans(points: DataFrame, ratio: float = 0.02, fanout: int = 64, metric: str = "l2", rounds: int = 20, large: int = LARGE) -> tuple[DataFrame, DataFrame]:
     """(leaves(id, leaf), centers(leaf, vec, size)): split level by level until a node has no more points than its share of centers allows.
 
-    A node of n points gets min(fanout, max(2, n * ratio)) children; it is a leaf once n * ratio < 2.
+    A node of n points gets min(fanout, n * ratio) children; it is a leaf once n * ratio < 2 or all its points are alike. Nodes of more
+    than so many values are split by all tasks, a level at a time; smaller ones with all that is below them in one task each.
     """
-    now = points.select("id", F.array(F.lit(0)).alias("node"))
 
-    def split(pdf: pd.DataFrame) -> pd.DataFrame:
+    def below(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id")
-        v, ids, node = np.stack(pdf["vec"].to_numpy()).astype(float), pdf["id"].to_numpy(), list(pdf["node"].iloc[0])
-        m = min(fanout, int(len(pdf) * ratio))
-        part = np.zeros(len(pdf), np.int64)
-        if m >= 2:
-            part, _ = kernels.lloyd(v, v[kernels.sample_rows(ids, m, SEED + len(node))], metric, rounds)
-        done = m < 2 or part.max() == 0
-        return pd.DataFrame({"id": ids, "node": [node if done else [*node, int(p)] for p in part], "done": done})
-
-    finished = None
-    for _ in range(max_levels):
-        step = materialize(now.join(points, "id").groupBy("node").applyInPandas(split, "id long, node array<int>, done boolean"), "split")
-        ended = step.where("done").select("id", "node")
-        finished = ended if finished is None else finished.unionByName(ended)
-        now = step.where("not done").select("id", "node")
-        if now.isEmpty():
-            break
-    whole = finished.unionByName(now)
-    names = whole.select("node").distinct().withColumn("leaf", (F.row_number().over(Window.orderBy("node")) - 1).cast("int"))
-    leaves = whole.join(names, "node").select("id", "leaf")
+        v, ids = np.stack(pdf["vec"].to_numpy()).astype(float), pdf["id"].to_numpy()
+        todo, path = [(np.arange(len(ids)), list(pdf["path"].iloc[0]))], np.empty(len(ids), object)
+        while todo:
+            own, node = todo.pop()
+            m = min(fanout, int(len(own) * ratio))
+            part = kernels.lloyd(v[own], v[own][kernels.sample_rows(ids[own], m, SEED + len(node))], metric, rounds)[0] if m >= 2 else np.zeros(len(own), np.int64)
+            if part.max() == 0:
+                for i in own:
+                    path[i] = node
+            else:
+                todo += [(own[part == p], [*node, int(p)]) for p in np.unique(part)]
+        return pd.DataFrame({"id": ids, "path": path})
+
+    now, done, schema = points.select("id", "vec", F.array(F.lit(0)).alias("path")), [], "id long, path array<int>"
+    while now is not None:
+        small, rest, sizes = split_by_size(keyed(now, "path"), "nodes", large)
+        done.append(small.groupBy("node").applyInPandas(below, schema))
+        now = None
+        wanted = {s: (min(fanout, int(n * ratio)), SEED + s.count(".") + 1) for s, n in sizes.items()}
+        wanted = {s: how for s, how in wanted.items() if how[0] >= 2}
+        if wanted:
+            placed, made = node_kmeans(rest, wanted, metric, rounds)
+            whole = [s for s, (at, _) in made.items() if len(at) == 1]
+            ended = F.col("node").isin([*whole, *(sizes.keys() - wanted.keys())])
+            done.append(rest.where(ended).select("id", "path"))
+            if len(whole) < len(wanted):
+                now = placed.where(~ended).select("id", "vec", F.concat("path", F.array(F.col("part"))).alias("path"))
+        elif rest is not None:
+            done.append(rest.select("id", "path"))
+    whole = done[0]
+    for d in done[1:]:
+        whole = whole.unionByName(d)
+    whole = materialize(whole, "paths")
+    names = whole.select("path").distinct().withColumn("leaf", (F.row_number().over(Window.orderBy("path")) - 1).cast("int"))
+    leaves = whole.join(names, "path").select("id", "leaf")
     at = centers(points, leaves.select("id", F.col("leaf").alias("shard")), metric)
     sizes = leaves.groupBy("leaf").agg(F.count(F.lit(1)).alias("size"))
     return leaves, at.select(F.col("shard").alias("leaf"), "vec").join(sizes, "leaf")

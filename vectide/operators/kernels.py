@@ -113,11 +113,16 @@ def lloyd(points: np.ndarray, centers: np.ndarray, metric: str, rounds: int = 20
     return cluster, centers
 
 
-def sample_rows(ids: np.ndarray, m: int, seed: int) -> np.ndarray:
-    """Positions of m rows, or all: the smallest in a hash order of ids, in ascending order."""
+def sample_order(ids: np.ndarray, seed: int) -> np.ndarray:
+    """A hash of each id, in whose order rows are sampled."""
     with np.errstate(over="ignore"):
-        h = (ids.astype(np.uint64) + np.uint64(seed * 0x9E3779B9 + 1)) * np.uint64(0x9E3779B97F4A7C15)
+        h = (ids.astype(np.uint64) + np.uint64((seed * 0x9E3779B9 + 1) % 2**64)) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(29)
         h *= np.uint64(0xBF58476D1CE4E5B9)
         h ^= h >> np.uint64(32)
-    return np.sort(np.lexsort((ids, h))[:m])
+    return (h ^ np.uint64(1 << 63)).view(np.int64)
+
+
+def sample_rows(ids: np.ndarray, m: int, seed: int) -> np.ndarray:
+    """Positions of m rows, or all: the smallest in a hash order of ids, in ascending order."""
+    return np.sort(np.lexsort((ids, sample_order(ids, seed)))[:m])

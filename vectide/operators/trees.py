@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels
+from .lloyd import LARGE, keyed, node_kmeans, split_by_size
 from .neighbours import dedup_neighbours, rank_within
 
 
@@ -24,36 +25,74 @@ class TreeOptions:
     seed: int = 555
 
 
-def train_trees(points: DataFrame, assignment: DataFrame, how: TreeOptions, metric: str = "l2") -> DataFrame:
+def _below(shard: int, node: int, centroid: int) -> int:
+    """The number of the node below a centroid: a hash of the path, so that it doesn't depend on where a node is trained."""
+    x = (node * 0x9E3779B97F4A7C15 + (shard + 1) * 0xD6E8FEB86659FD93 + centroid + 1) % 2**64
+    x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) % 2**64
+    x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) % 2**64
+    return (x ^ (x >> 31)) >> 1
+
+
+def _children(shard: int, node: int, budget: int, sizes: np.ndarray, how: TreeOptions) -> dict[int, tuple[int, int]]:
+    """Of the centroids of a node, those that are split again: (node below, its budget)."""
+    left = budget - len(sizes)
+    deep = [c for c in range(len(sizes)) if sizes[c] > how.min_cluster_size] if left > 0 and len(sizes) > 1 else []
+    return {c: (_below(shard, node, c), max(1, int(left * int(sizes[c]) / int(sizes[deep].sum())))) for c in deep}
+
+
+def train_trees(points: DataFrame, assignment: DataFrame, how: TreeOptions, metric: str = "l2", large: int = LARGE) -> DataFrame:
     """(shard, node, centroid, vec, child): a tree for each shard; child is the node below a centroid, or null.
 
-    Shards share the budget of centroids by size. Nodes are numbered in breadth-first order from 0.
+    Shards share the budget of centroids by size. The root is node 0; others are numbered by a hash of their path. Nodes of more than so
+    many values are clustered by all tasks, a level at a time; smaller ones with all that is below them in one task each. Centroids of
+    large nodes pass through the driver, no more than the budget and a node's centroids for each of them.
     """
-    n = max(1, assignment.count())
-
-    def train(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
-        ids, v, shard = pdf["id"].to_numpy(), np.stack(pdf["vec"].to_numpy()).astype(float), int(pdf["shard"].iloc[0])
-        rows, todo, made = [], [(0, np.arange(len(v)), max(1, how.budget * len(v) // n))], 1
-        while todo:
-            node, own, budget = todo.pop(0)
-            m = max(2, min(how.num_centroids, budget))
-            start = v[own][kernels.sample_rows(ids[own], m, how.seed + shard + node)]
-            cluster, at = kernels.lloyd(v[own], start, metric, how.rounds)
-            budget -= len(at)
-            sizes = np.bincount(cluster, minlength=len(at))
-            deep = [c for c in range(len(at)) if sizes[c] > how.min_cluster_size] if budget > 0 and len(at) > 1 else []
-            children = {}
-            for c in deep:
-                children[c] = made
-                todo.append((made, own[cluster == c], max(1, int(budget * sizes[c] / sizes[deep].sum()))))
-                made += 1
-            rows += [(shard, node, c, x.tolist(), children.get(c)) for c, x in enumerate(at)]
-        out = pd.DataFrame(rows, columns=["shard", "node", "centroid", "vec", "child"])
-        return out.astype({"child": "Int64"})
-
-    own = points.join(assignment, "id").select("id", F.col("vec").cast("array<double>").alias("vec"), "shard")
-    return own.groupBy("shard").applyInPandas(train, "shard int, node long, centroid long, vec array<double>, child long")
+    sizes = {r["shard"]: r["n"] for r in assignment.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}
+    n = max(1, sum(sizes.values()))
+    budgets = {(s, 0): max(1, how.budget * own // n) for s, own in sizes.items()}
+    schema = "shard int, node long, centroid long, vec array<double>, child long"
+
+    def trained(budgets: dict[tuple[int, int], int]):
+        def train(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("id")
+            ids, v, shard, root = pdf["id"].to_numpy(), np.stack(pdf["vec"].to_numpy()).astype(float), int(pdf["shard"].iloc[0]), int(pdf["at"].iloc[0])
+            rows, todo = [], [(root, np.arange(len(v)), budgets[shard, root])]
+            while todo:
+                node, own, budget = todo.pop()
+                start = kernels.sample_rows(ids[own], max(2, min(how.num_centroids, budget)), how.seed + shard + node % 2**31)
+                cluster, at = kernels.lloyd(v[own], v[own][start], metric, how.rounds)
+                children = _children(shard, node, budget, np.bincount(cluster, minlength=len(at)), how)
+                todo += [(below, own[cluster == c], left) for c, (below, left) in children.items()]
+                rows += [(shard, node, c, x.tolist(), children[c][0] if c in children else None) for c, x in enumerate(at)]
+            out = pd.DataFrame(rows, columns=["shard", "node", "centroid", "vec", "child"], dtype=object)
+            return out.astype({"shard": int, "node": int, "centroid": int, "child": "Int64"})  # not by way of floats, which round numbers of nodes
+
+        return train
+
+    own = points.join(assignment, "id").select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec"), F.col("shard").cast("int").alias("shard"))
+    now, out = own.withColumn("at", F.lit(0).cast("long")), None
+    while now is not None:
+        small, rest, held = split_by_size(keyed(now, "shard", "at"), "nodes", large)
+        made = small.groupBy("node").applyInPandas(trained(budgets), schema)
+        out = made if out is None else out.unionByName(made)
+        now = None
+        if rest is None:
+            continue
+        of = {key: tuple(int(x) for x in key.split("/")) for key in held}
+        placed, clusters = node_kmeans(rest, {key: (max(2, min(how.num_centroids, budgets[s, x])), how.seed + s + x % 2**31) for key, (s, x) in of.items()}, metric, how.rounds)
+        rows, nxt, to = [], {}, {}
+        for key, (at, counts) in clusters.items():
+            s, x = of[key]
+            children = _children(s, x, budgets[s, x], counts, how)
+            rows += [(s, x, c, v.tolist(), children[c][0] if c in children else None) for c, v in enumerate(at)]
+            for c, (below, left) in children.items():
+                nxt[s, below], to[f"{key}/{c}"] = left, below
+        out = out.unionByName(points.sparkSession.createDataFrame(rows, schema))
+        budgets = nxt
+        if nxt:
+            goes = points.sparkSession.createDataFrame(list(to.items()), "path string, below long")  # a row for each child of a large node
+            now = placed.withColumn("path", F.concat_ws("/", "node", "part")).join(goes, "path").select("id", "vec", "shard", F.col("below").alias("at"))
+    return out
 
 
 def routing_points(trees: DataFrame) -> DataFrame:
