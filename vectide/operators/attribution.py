@@ -9,9 +9,12 @@ from .recall import recall_by_probes
 
 
 def work_by_probes(routes: DataFrame, cost: DataFrame, shards: int, extra: list[str] | None = None) -> DataFrame:
-    """(extra..., probes, shard, work): what each shard has done after so many probes. cost: (query_id, shard, cost)."""
+    """(extra..., probes, shard, work): what each shard has done after so many probes.
+
+    cost: (query_id, shard, cost), or what a query costs by columns of routes, as (shard, cost) or (ef, shard, cost).
+    """
     extra = extra or []
-    own = routes.join(cost, ["query_id", "shard"]).groupBy(*extra, "probe_rank", "shard").agg(F.sum("cost").alias("work"))
+    own = routes.join(cost, [c for c in cost.columns if c != "cost"]).groupBy(*extra, "probe_rank", "shard").agg(F.sum("cost").alias("work"))
     # each share counts for its own probe and all later ones
     later = own.select(*extra, "shard", "work", F.explode(F.sequence(F.col("probe_rank"), F.lit(shards))).alias("probes"))
     return later.groupBy(*extra, "probes", "shard").agg(F.sum("work").alias("work"))

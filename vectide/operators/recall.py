@@ -58,6 +58,17 @@ def oracle_routes(truth: DataFrame, assignment: DataFrame) -> DataFrame:
     return per.select("query_id", F.row_number().over(w).alias("probe_rank"), "shard", "freq")
 
 
+def disjoint_oracle_recall(truth: DataFrame, assignment: DataFrame, k: int) -> DataFrame:
+    """(probes, recall) if each query probes shards by how many of its neighbours they hold, where no two shards share points.
+
+    Ends with the last probe that finds something.
+    """
+    gains = oracle_routes(truth, assignment).groupBy("probe_rank").agg(F.sum("freq").alias("gain"))
+    queries = truth.select("query_id").distinct().agg(F.count(F.lit(1)).alias("nq"))
+    so_far = F.sum("gain").over(Window.orderBy("probe_rank"))  # one row for each probe
+    return gains.select("probe_rank", so_far.alias("c")).crossJoin(queries).select(F.col("probe_rank").cast("int").alias("probes"), (F.col("c") / (F.col("nq") * F.lit(float(k)))).alias("recall"))
+
+
 def max_first_route_recall(routes: DataFrame, truth: DataFrame, assignment: DataFrame, k: int) -> DataFrame:
     """(route_id, recall): of each route's first shard, if the search in it is exact."""
     first = routes.where(F.col("probe_rank") == 1).join(neighbour_shards(truth, assignment), ["query_id", "shard"], "left")

@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import heapq
+import time
 from dataclasses import dataclass
+from functools import partial
+from statistics import median
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import materialize
 from . import kernels
 from .lloyd import LARGE, keyed, node_kmeans, split_by_size
 from .neighbours import dedup_neighbours, rank_within
@@ -188,6 +192,13 @@ class NavigableGraph:
         self.links = [np.fromiter(sorted(x), np.int64, len(x)) for x in self.near]
         self.entry = np.union1d(kernels.sample_rows(ids, how.entries, 555), self._islands())
 
+    @classmethod
+    def loaded(cls, ids: np.ndarray, vectors: np.ndarray, links: list[np.ndarray], entry: np.ndarray, metric: str) -> NavigableGraph:
+        """A graph that was built before."""
+        self = cls.__new__(cls)
+        self.ids, self.v, self.links, self.entry, self.metric = ids, vectors, links, entry, metric
+        return self
+
     def _islands(self) -> np.ndarray:
         """One point of each connected part, so that a search can reach all of them."""
         part, firsts = np.full(len(self.ids), -1), []
@@ -233,32 +244,82 @@ class NavigableGraph:
         return self.ids[rows][order], dist[order]
 
 
-def graph_search(points: DataFrame, queries: DataFrame, k: int, efs: list[int], how: GraphOptions | None = None, metric: str = "l2") -> DataFrame:
-    """(ef, part, query_id, rank, neighbor_id, dist): approximate search in each part, for several beam widths over one build.
+def _in_blocks(points: DataFrame, how: GraphOptions) -> DataFrame:
+    """(part, b, id, vec): each part's points in blocks of about how.block."""
+    sizes = points.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / how.block).cast("int").alias("blocks"))
+    return points.join(sizes, "part").select("part", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("b"), F.col("id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec"))
 
-    points(id, vec, part), queries(query_id, qvec, part). Each block of a part is a graph of its own; results of blocks are merged.
+
+def graph_index(points: DataFrame, how: GraphOptions | None = None, metric: str = "l2") -> DataFrame:
+    """(part, b, place, id, vec, links, entry): the graphs of points(id, vec, part), to be saved as a table and searched later.
+
+    links are the places, within the block b of the part, of a point's neighbours; searches begin at points with entry.
     """
     how = how or GraphOptions()
-    sizes = points.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / how.block).cast("int").alias("blocks"))
-    left = points.join(sizes, "part").select("part", F.col("id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("v"), F.lit(False).alias("ask"), F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("b"))
-    right = queries.join(sizes, "part").select("part", F.col("query_id").cast("long").alias("id"), F.col("qvec").cast("array<double>").alias("v"), F.lit(True).alias("ask"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ask, out = pdf["ask"].to_numpy(), []
-        if not ask.all() and ask.any():
-            ids, v = pdf["id"].to_numpy(), np.stack(pdf["v"].to_numpy())
-            graph = NavigableGraph(ids[~ask], v[~ask], how, metric)
-            for q, x in zip(ids[ask], v[ask], strict=True):
-                for ef in efs:
-                    found, dist = graph.search(x, k, max(ef, k))
-                    out += [(ef, pdf["part"].iloc[0], q, i, d) for i, d in zip(found, dist, strict=True)]
-        return pd.DataFrame(out, columns=["ef", "part", "query_id", "neighbor_id", "dist"])
+
+    def build(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id", ignore_index=True)
+        graph = NavigableGraph(pdf["id"].to_numpy(), np.stack(pdf["vec"].to_numpy()), how, metric)
+        return pdf.assign(place=np.arange(len(pdf)), links=graph.links, entry=np.isin(np.arange(len(pdf)), graph.entry))
 
     kind = dict(points.dtypes)["part"]
-    found = left.unionByName(right).groupBy("part", "b").applyInPandas(run, f"ef int, part {kind}, query_id long, neighbor_id long, dist double")
+    return _in_blocks(points, how).groupBy("part", "b").applyInPandas(build, f"part {kind}, b int, place long, id long, vec array<double>, links array<long>, entry boolean")
+
+
+def _search_blocks(index: DataFrame, queries: DataFrame, search: partial, schema: str) -> DataFrame:
+    """search(graph, query ids, query vectors), whose rows go behind the part, of each block of an index with the queries of its part."""
+    kind, metric = dict(index.dtypes)["part"], search.keywords["metric"]
+    blocks = index.select("part", "b").distinct()
+    asked = queries.join(blocks, "part").select(F.col("part").alias("in_part"), F.col("b").alias("in_b"), F.col("query_id").cast("long").alias("query_id"), F.col("qvec").cast("array<double>").alias("qvec"))
+
+    def run(key: tuple, own: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        if len(own) and len(ask):
+            own, ask = own.sort_values("place"), ask.sort_values("query_id")
+            graph = NavigableGraph.loaded(own["id"].to_numpy(), np.stack(own["vec"].to_numpy()), list(own["links"]), np.flatnonzero(own["entry"].to_numpy()), metric)
+            rows = [(key[0], *r) for r in search(graph, ask["query_id"].to_numpy(), np.stack(ask["qvec"].to_numpy()))]
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in f"part {kind}, {schema}".split(", ")])
+
+    return index.groupBy("part", "b").cogroup(asked.groupBy("in_part", "in_b")).applyInPandas(run, f"part {kind}, {schema}")
+
+
+def _hits(graph: NavigableGraph, ids: np.ndarray, vectors: np.ndarray, k: int, efs: list[int], metric: str) -> list[tuple]:
+    return [(ef, q, i, d) for q, x in zip(ids, vectors, strict=True) for ef in efs for i, d in zip(*graph.search(x, k, max(ef, k)), strict=True)]
+
+
+def _times(graph: NavigableGraph, ids: np.ndarray, vectors: np.ndarray, k: int, efs: list[int], repeats: int, metric: str) -> list[tuple]:
+    out = []
+    for ef in efs:
+        took = []
+        for _ in range(repeats):
+            began = time.perf_counter()
+            for x in vectors:
+                graph.search(x, k, max(ef, k))
+            took.append((time.perf_counter() - began) / len(vectors))
+        out.append((ef, median(took)))
+    return out
+
+
+def search_index(index: DataFrame, queries: DataFrame, k: int, efs: list[int], metric: str = "l2") -> DataFrame:
+    """(ef, part, query_id, rank, neighbor_id, dist) as graph_search, over a graph_index."""
+    found = _search_blocks(index, queries, partial(_hits, k=k, efs=efs, metric=metric), "ef int, query_id long, neighbor_id long, dist double")
     return rank_within(found, ["ef", "part", "query_id"], k).select("ef", "part", "query_id", "rank", "neighbor_id", "dist")
 
 
+def search_times(index: DataFrame, queries: DataFrame, k: int, efs: list[int], repeats: int = 5, metric: str = "l2") -> DataFrame:
+    """(ef, part, seconds): what a query(query_id, qvec, part) takes in a part: the median of so many runs over all queries, blocks added up."""
+    took = _search_blocks(index, queries, partial(_times, k=k, efs=efs, repeats=repeats, metric=metric), "ef int, seconds double")
+    return took.groupBy("ef", "part").agg(F.sum("seconds").alias("seconds"))
+
+
+def graph_search(points: DataFrame, queries: DataFrame, k: int, efs: list[int], how: GraphOptions | None = None, metric: str = "l2") -> DataFrame:
+    """(ef, part, query_id, rank, neighbor_id, dist): approximate search in each part, for several beam widths over one build.
+
+    points(id, vec, part), queries(query_id, qvec, part). Each block of a part is a graph of its own; results of blocks are merged.
+    """
+    return search_index(materialize(graph_index(points, how, metric), "index"), queries, k, efs, metric)
+
+
 def graph_search_all(points: DataFrame, queries: DataFrame, k: int, ef: int = 250, how: GraphOptions | None = None, metric: str = "l2") -> DataFrame:
     """(query_id, rank, neighbor_id, dist) without shards."""
     one = F.lit(0).alias("part")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..operators import attribution, centroids, graphs, methods, neighbours, overlap, recall, routing, search, shards, trees
+from . import sweeps
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -426,6 +427,12 @@ def oracle_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(recall.recall_by_probes(recall.oracle_routes(truth, t.assignment), recall.neighbour_shards(truth, t.assignment), SHARDS, K, t.n_queries()), "recall", digits=9)
 
 
+@query(f"WITH {_TRUTH}, {_ORACLE} SELECT CAST(probe_rank AS INTEGER) AS probes, round(sum(gain) OVER (ORDER BY probe_rank) / ({_NQ} * {K}.0::DOUBLE), 9) AS recall FROM (SELECT probe_rank, sum(freq) AS gain FROM routes GROUP BY probe_rank)")
+def oracle_recall_disjoint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = Tables(spark, sf_dir)
+    return rounded(recall.disjoint_oracle_recall(t.truth(), t.assignment, K), "recall", digits=9)
+
+
 @query(f"WITH {_TRUTH}, per AS (SELECT query_id, shard, count(*) AS c FROM truth JOIN points ON neighbor_id = id GROUP BY ALL), m AS (SELECT query_id, max(c) AS c FROM per GROUP BY query_id) SELECT round(sum(c) / ({_NQ} * {K}.0::DOUBLE), 9) AS recall FROM m")
 def first_shard_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = Tables(spark, sf_dir)
@@ -635,3 +642,15 @@ def ann_shard_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = t.queries.crossJoin(F.broadcast(t.shards.withColumnRenamed("shard", "part")))  # one row for each shard
     found = trees.graph_search(search.shard_points(t.points, t.assignment), asked, K, [50, 100], trees.GraphOptions(m=16))
     return search.true_hits(found, neighbours.kth_distance(t.truth(), K)).select("ef", F.col("part").alias("shard"), "query_id", "neighbor_id")
+
+
+@query()
+def ef_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = Tables(spark, sf_dir)
+    return rounded(sweeps.ef_sweep(t.points, t.queries, K, how=trees.GraphOptions(m=16)).select("ef", "recall"), "recall")
+
+
+@query()
+def small_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = Tables(spark, sf_dir)
+    return rounded(sweeps.small_scale(t.points, t.assignment, t.queries, K, _SMALL_TREE).drop("routing_seconds"), "recall")

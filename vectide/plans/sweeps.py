@@ -31,6 +31,59 @@ def route_set(points: DataFrame, assignment: DataFrame, queries: DataFrame, how:
     return out.unionByName(sweep.withColumn("route_id", F.col("route_id") + len(found)).withColumn("increasing", ~F.col("algorithm").isin("pyramid", "spann")))
 
 
+def all_route_sets(points: DataFrame, assignment: DataFrame, queries: DataFrame, configs: Iterable[dict] | None = None, vote_counts: tuple[int, ...] = routing.VOTE_COUNTS, metric: str = "l2") -> DataFrame:
+    """route_set of each of the router configs, with route_config; route numbers run on, and random order is there once."""
+    out, first = None, 0
+    for c in routing.router_configs(points.count()) if configs is None else configs:
+        how = trees.TreeOptions(num_centroids=c["num_centroids"], min_cluster_size=c["min_cluster_size"], budget=c["budget"])
+        one = route_set(points, assignment, queries, how, vote_counts, metric)
+        one = one if out is None else one.where(F.col("algorithm") != "random")
+        one = one.select(F.lit(c["route_config"]).alias("route_config"), (F.col("route_id") + first).alias("route_id"), "algorithm", "votes", "increasing", "query_id", "probe_rank", "shard")
+        out, first = (one if out is None else out.unionByName(one)), first + 2 + 5 * len(vote_counts)
+    return out
+
+
+def ef_sweep(points: DataFrame, queries: DataFrame, k: int, efs: tuple[int, ...] = (20, 50, 80, 100, 120, 150, 200, 300, 400), how: trees.GraphOptions | None = None, repeats: int = 1, metric: str = "l2") -> DataFrame:
+    """(ef, recall, seconds) of graph search without shards; seconds a query."""
+    one, n = F.lit(0).alias("part"), queries.count()
+    asked = queries.select("query_id", "qvec", one)
+    index = materialize(trees.graph_index(points.select("id", "vec", one), how, metric), "index")
+    kth = neighbours.kth_distance(neighbours.ground_truth(points, queries, k, metric), k)
+    hits = search.true_hits(trees.search_index(index, asked, k, list(efs), metric), kth).groupBy("ef").agg(F.count(F.lit(1)).alias("c"))
+    took = trees.search_times(index, asked, k, list(efs), repeats, metric)
+    return took.join(hits, "ef", "left").select("ef", (F.coalesce("c", F.lit(0)) / F.lit(float(n * k))).alias("recall"), "seconds")
+
+
+def small_scale(points: DataFrame, assignment: DataFrame, queries: DataFrame, k: int, how: trees.TreeOptions | None = None, graph: trees.GraphOptions | None = None, ef: int = 120, votes: int = 60, metric: str = "l2") -> DataFrame:
+    """(routing, shard_query, probes, recall, routing_seconds): two routers, two searches in shards, all numbers of probes.
+
+    Routing by k-means trees, or by votes of the nearest centroids of these trees found in a graph; search by all points of a shard or in
+    its graph. routing_seconds is the wall time of a router's job.
+    """
+    how = how or trees.TreeOptions(num_centroids=32, min_cluster_size=200, budget=50_000, search_budget=5_000)
+    graph = graph or trees.GraphOptions(m=16, ef_search=200)
+    n_queries, every = queries.count(), materialize(assignment.select("shard").distinct(), "every")
+    n_shards = every.count()
+    kth = materialize(neighbours.kth_distance(neighbours.ground_truth(points, queries, k, metric), k), "kth")
+    built = materialize(trees.train_trees(points, assignment, how, metric), "trees")
+    centroid = trees.routing_points(built)
+    near = trees.graph_search_all(centroid.select("id", "vec"), queries, votes, graph.ef_search, graph, metric)
+    voted = near.join(centroid.select(F.col("id").alias("neighbor_id"), "shard"), "neighbor_id").groupBy("query_id", "shard").agg(F.min("dist").alias("min_dist"))
+    routers = {"tree": routing.by_distance(trees.query_trees(built, queries, how, metric), every), "graph": routing.by_distance(voted, every)}
+    hits = {"all points": shard_hits(points, assignment, queries, kth, k, metric=metric), "graph": shard_hits(points, assignment, queries, kth, k, [ef], metric)}
+    hits = {name: materialize(own, "hits") for name, own in hits.items()}
+    out = None
+    for router, routes in routers.items():
+        began = time.perf_counter()
+        routes = materialize(routes, "routes")
+        took = time.perf_counter() - began
+        for name, own in hits.items():
+            one = recall.recall_by_probes(routes, own.drop("ef"), n_shards, k, n_queries)
+            one = one.select(F.lit(router).alias("routing"), F.lit(name).alias("shard_query"), "probes", "recall", F.lit(took).alias("routing_seconds"))
+            out = one if out is None else out.unionByName(one)
+    return out
+
+
 def shard_hits(points: DataFrame, assignment: DataFrame, queries: DataFrame, kth: DataFrame, k: int, efs: list[int] | None = None, metric: str = "l2") -> DataFrame:
     """(ef, shard, query_id, neighbor_id): true neighbours that each shard returns, by graph search for each beam width, or exactly (ef 0)."""
     every = assignment.select("shard").distinct()
@@ -42,16 +95,27 @@ def shard_hits(points: DataFrame, assignment: DataFrame, queries: DataFrame, kth
     return search.true_hits(found, kth).select("ef", "shard", "query_id", "neighbor_id")
 
 
-def query_attribution(points: DataFrame, assignment: DataFrame, queries: DataFrame, k: int, how: trees.TreeOptions, efs: list[int] | None = None, vote_counts: tuple[int, ...] = (20, 100), extra_hosts: int = 20, metric: str = "l2") -> tuple[DataFrame, DataFrame]:
+def _shard_seconds(points: DataFrame, assignment: DataFrame, queries: DataFrame, k: int, efs: list[int], metric: str) -> DataFrame:
+    """(ef, shard, cost): seconds of a query in each shard."""
+    index = materialize(trees.graph_index(search.shard_points(points, assignment), metric=metric), "index")
+    asked = queries.crossJoin(assignment.select(F.col("shard").alias("part")).distinct())  # every query is timed in every shard
+    took = materialize(trees.search_times(index, asked, k, efs, metric=metric), "times")
+    return took.select("ef", F.col("part").alias("shard"), F.col("seconds").alias("cost"))
+
+
+def query_attribution(points: DataFrame, assignment: DataFrame, queries: DataFrame, k: int, how: trees.TreeOptions, efs: list[int] | None = None, vote_counts: tuple[int, ...] = (20, 100), extra_hosts: int = 20, metric: str = "l2", timed: bool = False) -> tuple[DataFrame, DataFrame]:
     """(table, front) over all routes and searches: (route_id, ef, probes, recall, hosts, latency, qps, ...), and what no other row beats.
 
-    Latency is in points scanned. Routes, hits and costs are computed once and joined.
+    Latency is in points scanned, or if timed in seconds of graph search: the median of five runs in each shard for each of efs. Routes,
+    hits and costs are computed once and joined.
     """
     n_queries, n_shards = queries.count(), assignment.select("shard").distinct().count()
     kth = materialize(neighbours.kth_distance(neighbours.ground_truth(points, queries, k, metric), k), "kth")
     routes = materialize(route_set(points, assignment, queries, how, vote_counts, metric), "routes")
     hits = materialize(shard_hits(points, assignment, queries, kth, k, efs, metric), "hits")
-    cost = queries.select("query_id").crossJoin(F.broadcast(shards.shard_sizes(assignment).withColumnRenamed("size", "cost")))  # one row for each shard
+    if timed and not efs:
+        raise ValueError("only graph search is timed; give efs")
+    cost = _shard_seconds(points, assignment, queries, k, efs, metric) if timed else shards.shard_sizes(assignment).withColumnRenamed("size", "cost")
     searches = hits.select("ef").distinct()
     both = routes.crossJoin(F.broadcast(searches))  # one row for each beam width
     keys = ["route_id", "ef"]
@@ -60,7 +124,7 @@ def query_attribution(points: DataFrame, assignment: DataFrame, queries: DataFra
     hosts = attribution.replica_latency(grown, extra_hosts, [*keys, "probes"])
     increasing = hosts.join(firsts.withColumn("probes", F.col("probes").cast("long")), [*keys, "probes"]).withColumn("probes", F.col("probes").cast("double"))
     fixed = both.where("not increasing")
-    whole = fixed.join(cost, ["query_id", "shard"]).groupBy(*keys, "shard").agg(F.sum("cost").alias("work"))
+    whole = fixed.join(cost, [c for c in cost.columns if c != "cost"]).groupBy(*keys, "shard").agg(F.sum("cost").alias("work"))
     once = variable_rows(fixed, hits, k, n_queries, keys)
     variable = attribution.replica_latency(whole, extra_hosts, keys).join(once, keys)
     table = attribution.throughput(increasing.unionByName(variable.select(increasing.columns)), n_queries)
