@@ -15,7 +15,7 @@ def distances(points: np.ndarray, query: np.ndarray, metric: str) -> np.ndarray:
     return 1.0 - (points * query).sum(axis=1)
 
 
-def _pairwise(points: np.ndarray, queries: np.ndarray, metric: str) -> np.ndarray:
+def pairwise(points: np.ndarray, queries: np.ndarray, metric: str) -> np.ndarray:
     """As distances, row against row."""
     if metric == "l2":
         diff = points - queries
@@ -50,7 +50,7 @@ def top_k(ids: np.ndarray, points: np.ndarray, query_ids: np.ndarray, queries: n
         exact = np.empty(len(row))
         for a in range(0, len(row), PAIRS):  # copies may all be as near as the k-th
             s = slice(a, a + PAIRS)
-            exact[s] = _pairwise(points[near[s]], of[row[s]], metric)
+            exact[s] = pairwise(points[near[s]], of[row[s]], metric)
         order = np.lexsort((ids[near], exact, row))
         row, near, exact = row[order], near[order], exact[order]
         best = np.arange(len(row)) - np.searchsorted(row, row) < k

@@ -214,34 +214,57 @@ class NavigableGraph:
                         todo.append(int(j))
         return np.array(firsts, np.int64)
 
-    def search(self, query: np.ndarray, k: int, ef: int) -> tuple[np.ndarray, np.ndarray]:
-        seen = np.zeros(len(self.ids), bool)
-        seen[self.entry] = True
-        d = kernels.distances(self.v[self.entry], query, self.metric)
-        todo = [(float(x), int(i)) for x, i in zip(d, self.entry, strict=True)]
-        heapq.heapify(todo)
-        best = [(-x, -i) for x, i in todo]
-        heapq.heapify(best)
-        while len(best) > ef:
-            heapq.heappop(best)
-        while todo:
-            x, i = heapq.heappop(todo)
-            if len(best) >= ef and x > -best[0][0]:
-                break
-            new = self.links[i][~seen[self.links[i]]]
-            if not len(new):
-                continue
-            seen[new] = True
-            for y, j in zip(kernels.distances(self.v[new], query, self.metric), new, strict=True):
-                if len(best) < ef or y < -best[0][0]:
-                    heapq.heappush(todo, (float(y), int(j)))
-                    heapq.heappush(best, (-float(y), -int(j)))
-                    if len(best) > ef:
-                        heapq.heappop(best)
-        rows = np.array([-i for _, i in best])
-        dist = np.array([-x for x, _ in best])
-        order = np.lexsort((self.ids[rows], dist))[:k]
-        return self.ids[rows][order], dist[order]
+    def search(self, queries: np.ndarray, k: int, ef: int, step: int = 256) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(ids, distances) of each query's nearest k found with a beam of ef.
+
+        So many queries walk at once: in each step every query looks at the neighbours of the nearest point in its beam that it hasn't
+        looked at yet, until there is none.
+        """
+        degree = np.array([len(x) for x in self.links], np.int64)
+        flat, start = np.concatenate([*self.links, np.empty(0, np.int64)]), np.cumsum(degree) - degree
+        out = []
+        for first in range(0, len(queries), step):
+            q = queries[first : first + step]
+            seen = np.zeros((len(q), len(self.ids)), bool)
+            seen[:, self.entry] = True
+            width = max(ef, len(self.entry))
+            dist, point = np.full((len(q), width), np.inf), np.full((len(q), width), -1, np.int64)
+            dist[:, : len(self.entry)] = np.stack([kernels.distances(self.v[self.entry], x, self.metric) for x in q])
+            point[:, : len(self.entry)] = self.entry
+            best = np.argsort(dist, axis=1, kind="stable")[:, :ef]
+            dist, point = np.take_along_axis(dist, best, 1), np.take_along_axis(point, best, 1)
+            fresh = np.isfinite(dist)
+            while True:
+                at = np.where(fresh, dist, np.inf).argmin(axis=1)
+                walks = np.flatnonzero(fresh[np.arange(len(q)), at])
+                if not len(walks):
+                    break
+                fresh[walks, at[walks]] = False
+                node = point[walks, at[walks]]
+                many = degree[node]
+                row = np.repeat(walks, many)
+                near = flat[np.arange(many.sum()) + np.repeat(start[node] - (np.cumsum(many) - many), many)]
+                new = ~seen[row, near]
+                row, near = row[new], near[new]
+                seen[row, near] = True
+                d = kernels.pairwise(self.v[near], q[row], self.metric)
+                good = d < dist.max(axis=1)[row]
+                row, near, d = row[good], near[good], d[good]
+                if not len(row):
+                    continue
+                grown, of = np.unique(row, return_inverse=True)
+                place = np.arange(len(row)) - np.searchsorted(row, row)
+                more_d, more_p = np.full((len(grown), place.max() + 1), np.inf), np.full((len(grown), place.max() + 1), -1, np.int64)
+                more_d[of, place], more_p[of, place] = d, near
+                all_d, all_p = np.hstack([dist[grown], more_d]), np.hstack([point[grown], more_p])
+                all_f = np.hstack([fresh[grown], np.isfinite(more_d)])
+                kept = np.argpartition(all_d, ef - 1, axis=1)[:, :ef]
+                dist[grown], point[grown], fresh[grown] = (np.take_along_axis(x, kept, 1) for x in (all_d, all_p, all_f))
+            for d, p in zip(dist, point, strict=True):
+                p, d = p[np.isfinite(d)], d[np.isfinite(d)]
+                order = np.lexsort((self.ids[p], d))[:k]
+                out.append((self.ids[p][order], d[order]))
+        return out
 
 
 def _in_blocks(points: DataFrame, how: GraphOptions) -> DataFrame:
@@ -284,7 +307,7 @@ def _search_blocks(index: DataFrame, queries: DataFrame, search: partial, schema
 
 
 def _hits(graph: NavigableGraph, ids: np.ndarray, vectors: np.ndarray, k: int, efs: list[int], metric: str) -> list[tuple]:
-    return [(ef, q, i, d) for q, x in zip(ids, vectors, strict=True) for ef in efs for i, d in zip(*graph.search(x, k, max(ef, k)), strict=True)]
+    return [(ef, q, i, d) for ef in efs for q, found in zip(ids, graph.search(vectors, k, max(ef, k)), strict=True) for i, d in zip(*found, strict=True)]
 
 
 def _times(graph: NavigableGraph, ids: np.ndarray, vectors: np.ndarray, k: int, efs: list[int], repeats: int, metric: str) -> list[tuple]:
@@ -293,8 +316,7 @@ def _times(graph: NavigableGraph, ids: np.ndarray, vectors: np.ndarray, k: int,
         took = []
         for _ in range(repeats):
             began = time.perf_counter()
-            for x in vectors:
-                graph.search(x, k, max(ef, k))
+            graph.search(vectors, k, max(ef, k))
             took.append((time.perf_counter() - began) / len(vectors))
         out.append((ef, median(took)))
     return out

@@ -647,7 +647,7 @@ def ann_shard_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def ef_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = Tables(spark, sf_dir)
-    return rounded(sweeps.ef_sweep(t.points, t.queries, K, how=trees.GraphOptions(m=16)).select("ef", "recall"), "recall")
+    return rounded(sweeps.ef_sweep(t.points, t.queries, K, (20, 50, 100), trees.GraphOptions(m=16), repeats=0), "recall")
 
 
 @query()

@@ -44,14 +44,15 @@ def all_route_sets(points: DataFrame, assignment: DataFrame, queries: DataFrame,
 
 
 def ef_sweep(points: DataFrame, queries: DataFrame, k: int, efs: tuple[int, ...] = (20, 50, 80, 100, 120, 150, 200, 300, 400), how: trees.GraphOptions | None = None, repeats: int = 1, metric: str = "l2") -> DataFrame:
-    """(ef, recall, seconds) of graph search without shards; seconds a query."""
+    """(ef, recall, seconds) of graph search without shards; seconds a query, the median of so many runs; (ef, recall) without runs."""
     one, n = F.lit(0).alias("part"), queries.count()
     asked = queries.select("query_id", "qvec", one)
     index = materialize(trees.graph_index(points.select("id", "vec", one), how, metric), "index")
     kth = neighbours.kth_distance(neighbours.ground_truth(points, queries, k, metric), k)
     hits = search.true_hits(trees.search_index(index, asked, k, list(efs), metric), kth).groupBy("ef").agg(F.count(F.lit(1)).alias("c"))
-    took = trees.search_times(index, asked, k, list(efs), repeats, metric)
-    return took.join(hits, "ef", "left").select("ef", (F.coalesce("c", F.lit(0)) / F.lit(float(n * k))).alias("recall"), "seconds")
+    every = points.sparkSession.createDataFrame([(e,) for e in efs], "ef int")
+    swept = every.join(hits, "ef", "left").select("ef", (F.coalesce("c", F.lit(0)) / F.lit(float(n * k))).alias("recall"))
+    return swept.join(trees.search_times(index, asked, k, list(efs), repeats, metric).drop("part"), "ef") if repeats else swept
 
 
 def small_scale(points: DataFrame, assignment: DataFrame, queries: DataFrame, k: int, how: trees.TreeOptions | None = None, graph: trees.GraphOptions | None = None, ef: int = 120, votes: int = 60, metric: str = "l2") -> DataFrame:
